@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicketworks.functions import null_safe_join, rows, stage_of
@@ -44,8 +44,9 @@ def bowling_mart(
     overs = bowling.over_totals(deliveries, ["bowler", "inning"], kinds)
     staged = attach_season(overs, matches).withColumn("stage", stage_of())
     totals = bowling.player_totals(bowling.match_totals(staged, BOWLING_KEYS), BOWLING_KEYS)
-    enough = _season_total("balls", "bowler") > max_excluded_overs * BALLS_PER_OVER
-    return bowling.finish_bowling(_qualified(totals, enough), BOWLING_KEYS).select(*BOWLING_MART.names)
+    counted = _with_season_balls(totals, "balls", "bowler")
+    kept = counted.where(F.col("season_balls") > max_excluded_overs * BALLS_PER_OVER)
+    return bowling.finish_bowling(_in_a_stage(kept), BOWLING_KEYS).select(*BOWLING_MART.names)
 
 
 def batting_mart(
@@ -67,11 +68,12 @@ def batting_mart(
     )
     roles = batting.player_roles(flagged, BATTING_KEYS, F.col("excluded").isNull())
     totals = batting.player_totals(batting.player_match_totals(roles, BATTING_KEYS), BATTING_KEYS)
-    faced = _season_total("balls_faced", "batsman")
+    counted = _with_season_balls(totals, "balls_faced", "batsman")
+    faced = F.col("season_balls")
     # Who never faced a ball is on no list of excluded strikers.
-    enough = (faced == 0) | (faced > max_excluded_balls)
-    qualified = batting.with_not_outs(_qualified(totals, enough))
-    return batting.finish_batting(qualified, BATTING_KEYS).select(*BATTING_MART.names)
+    kept = counted.where((faced == 0) | (faced > max_excluded_balls))
+    measures = batting.with_not_outs(_in_a_stage(kept))
+    return batting.finish_batting(measures, BATTING_KEYS).select(*BATTING_MART.names)
 
 
 def _excluded_strikers(deliveries: DataFrame, matches: DataFrame, max_balls: int) -> DataFrame:
@@ -85,11 +87,11 @@ def _excluded_strikers(deliveries: DataFrame, matches: DataFrame, max_balls: int
     )
 
 
-def _season_total(measure: str, player: str) -> Column:
-    """Balls of the player-season, those outside every stage included."""
-    return F.sum(measure).over(Window.partitionBy(player, "season"))
+def _with_season_balls(totals: DataFrame, measure: str, player: str) -> DataFrame:
+    """Adds the balls of the player-season, those outside every stage included."""
+    season = Window.partitionBy(player, "season")
+    return totals.withColumn("season_balls", F.sum(measure).over(season))
 
 
-def _qualified(totals: DataFrame, enough: Column) -> DataFrame:
-    marked = totals.withColumn("enough", enough)
-    return marked.where(F.col("enough") & F.col("stage").isNotNull()).drop("enough")
+def _in_a_stage(totals: DataFrame) -> DataFrame:
+    return totals.where(F.col("stage").isNotNull()).drop("season_balls")
