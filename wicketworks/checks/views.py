@@ -29,35 +29,45 @@ BALL_PARTS = {
     "rf": "l_returnflag",
 }
 
-_BOWLER = "case when o % 5 = 0 then 37 + (m * 5 + i * 3 + o) % 61 else (m * 5 + i * 3 + o % 5) % 37 end"
-_STRIKER = """case when o >= 19 then 41 + (m * 7 + i * 2 + case when k = 0 then 1 else 0 end) % 53
+# Numbers of the players, runs and the kind of dismissal, carried on to the names.
+BALL_NUMBERS = {
+    "rowno": "rowno",
+    "match_id": "m",
+    "inning": "i",
+    "over": "o",
+    "bowler_no": """case when o % 5 = 0 then 37 + (m * 5 + i * 3 + o) % 61
+    else (m * 5 + i * 3 + o % 5) % 37 end""",
+    "striker_no": """case when o >= 19 then 41 + (m * 7 + i * 2 + case when k = 0 then 1 else 0 end) % 53
     when o = 12 and k = 2 then 95
-    else (m * 7 + i * 11 + cast(floor(o / 5) as int) + case when k = 0 then 1 else 0 end) % 41 end"""
-_NON_STRIKER = """case when o >= 19 and k = 0 then 41 + (m * 7 + i * 2) % 53
+    else (m * 7 + i * 11 + cast(floor(o / 5) as int) + case when k = 0 then 1 else 0 end) % 41 end""",
+    "non_striker_no": """case when o >= 19 and k = 0 then 41 + (m * 7 + i * 2) % 53
     when o = 3 and k = 2 then 95
     when o = 9 and k = 1 then 41 + (m * 7 + i * 2) % 53
-    else (m * 7 + i * 11 + cast(floor(o / 5) as int) + case when k = 0 then 0 else 1 end) % 41 end"""
-_RUNS = "case when q <= 22 then 0 when q <= 36 then 1 when q <= 40 then 2 when q <= 46 then 4 else 6 end"
-_EXTRAS = "case when d = 10 and q > 22 then 1 else 0 end"
-_KIND = """case when not ((t = 8 and q <= 22) or (t >= 5 and q <= 30 and m % 5 = 0 and o % 5 = 2)) then ''
+    else (m * 7 + i * 11 + cast(floor(o / 5) as int) + case when k = 0 then 0 else 1 end) % 41 end""",
+    "batsman_runs": """case when q <= 22 then 0 when q <= 36 then 1 when q <= 40 then 2
+    when q <= 46 then 4 else 6 end""",
+    "extra_runs": "case when d = 10 and q > 22 then 1 else 0 end",
+    "dismissal_kind": """case
+    when not ((t = 8 and q <= 22) or (t >= 5 and q <= 30 and m % 5 = 0 and o % 5 = 2)) then ''
     when d <= 3 then 'caught' when d <= 5 then 'bowled' when d = 6 then 'lbw' when d = 7 then 'run out'
     when d = 8 then 'stumped' when d = 9 then 'caught and bowled'
-    when rf = 'A' then 'hit wicket' when rf = 'N' then 'retired hurt' else 'obstructing the field' end"""
-_OUT = f"case {_KIND} when '' then '' when 'run out' then concat('Batter ', {_NON_STRIKER}) else concat('Batter ', {_STRIKER}) end"
+    when rf = 'A' then 'hit wicket' when rf = 'N' then 'retired hurt' else 'obstructing the field' end""",
+}
 
 BALL_COLUMNS = {
     "rowno": "rowno",
-    "match_id": "m",
-    "inning": "i",
-    "over": "o",
-    "batsman": f"concat('Batter ', {_STRIKER})",
-    "non_striker": f"concat('Batter ', {_NON_STRIKER})",
-    "bowler": f"concat('Bowler ', {_BOWLER})",
-    "batsman_runs": _RUNS,
-    "extra_runs": _EXTRAS,
-    "total_runs": f"{_RUNS} + {_EXTRAS}",
-    "dismissal_kind": _KIND,
-    "player_dismissed": _OUT,
+    "match_id": "match_id",
+    "inning": "inning",
+    "over": "over",
+    "batsman": "concat('Batter ', striker_no)",
+    "non_striker": "concat('Batter ', non_striker_no)",
+    "bowler": "concat('Bowler ', bowler_no)",
+    "batsman_runs": "batsman_runs",
+    "extra_runs": "extra_runs",
+    "total_runs": "batsman_runs + extra_runs",
+    "dismissal_kind": "dismissal_kind",
+    "player_dismissed": """case dismissal_kind when '' then ''
+    when 'run out' then concat('Batter ', non_striker_no) else concat('Batter ', striker_no) end""",
 }
 
 
@@ -68,7 +78,8 @@ def _aliased(columns: dict[str, str]) -> list[str]:
 def numbered_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ball table with ``rowno``, its order in the fixture."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.selectExpr(*_aliased(BALL_PARTS)).selectExpr(*_aliased(BALL_COLUMNS))
+    numbers = lines.selectExpr(*_aliased(BALL_PARTS)).selectExpr(*_aliased(BALL_NUMBERS))
+    return numbers.selectExpr(*_aliased(BALL_COLUMNS))
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +93,12 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_views() -> str:
     """The same tables as common table expressions, for DuckDB."""
     parts = ",\n  ".join(_aliased(BALL_PARTS))
+    numbers = ",\n  ".join(_aliased(BALL_NUMBERS))
     balls = ",\n  ".join(_aliased(BALL_COLUMNS))
     ids = ", ".join(_aliased(MATCH_COLUMNS))
     return (
         f"parts as (select\n  {parts}\n  from lineitem),\n"
-        f"deliveries as (select\n  {balls}\n  from parts),\n"
+        f"numbers as (select\n  {numbers}\n  from parts),\n"
+        f"deliveries as (select\n  {balls}\n  from numbers),\n"
         f"matches as (select distinct {ids} from orders)"
     )

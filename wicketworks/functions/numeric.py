@@ -37,12 +37,12 @@ def guarded_ratio(top: Column, bottom: Column) -> Column:
 def ieee_ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom`` where x/0 is an infinity and 0/0 is NaN, also in ANSI mode."""
     top, bottom = top.cast("double"), bottom.cast("double")
-    return (
-        F.when(bottom != 0, top / bottom)
-        .when(F.isnan(top) | (top == 0), F.lit(NAN))
+    by_zero = (
+        F.when(F.isnan(top) | (top == 0), F.lit(NAN))
         .when(top > 0, F.lit(INFINITY))
         .when(top < 0, F.lit(-INFINITY))
     )
+    return F.when(bottom != 0, top / bottom).when(bottom == 0, by_zero)
 
 
 def round_one(value: Column) -> Column:

@@ -42,3 +42,12 @@ def pick_positions(values: DataFrame, positions: Sequence[int] = CREDITED_POSITI
         "position", F.row_number().over(Window.orderBy("first_seen", column))
     )
     return numbered.where(F.col("position").isin(*positions))
+
+
+def values_at(df: DataFrame, column: str, *order: Column, positions: Sequence[int] = CREDITED_POSITIONS) -> list:
+    """The values at these places, as a list of that length at most.
+
+    Gives the credited dismissal kinds of a file whose order is known, to be passed as ``kinds``.
+    """
+    picked = pick_positions(first_seen(df, column, *order), positions)
+    return [row[column] for row in picked.orderBy("position").collect()]

@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketworks.functions import ieee_ratio, round_numeric, tenths_sum
-from wicketworks.schema import INNING_CHOICES, STAGE_CHOICES, STAGES, Discipline
+from wicketworks.schema import (
+    DEFAULT_INNING,
+    DEFAULT_STAGE,
+    INNING_CHOICES,
+    STAGE_CHOICES,
+    STAGES,
+    Discipline,
+)
 
 
 def roll_up(
@@ -33,7 +40,9 @@ def roll_up(
     )
 
 
-def select_inning(table: DataFrame, discipline: Discipline, inning: str | int = "1 & 2") -> DataFrame:
+def select_inning(
+    table: DataFrame, discipline: Discipline, inning: str | int = DEFAULT_INNING
+) -> DataFrame:
     """Inning 1 or 2 as it is, anything else all innings added up by player and stage."""
     number = INNING_CHOICES.get(str(inning))
     if number is not None:
@@ -41,9 +50,7 @@ def select_inning(table: DataFrame, discipline: Discipline, inning: str | int =
     return round_numeric(roll_up(table, discipline, [discipline.player, "stage"]))
 
 
-def select_stage(
-    table: DataFrame, discipline: Discipline, stage: str = "Complete (1-20)"
-) -> DataFrame:
+def select_stage(table: DataFrame, discipline: Discipline, stage: str = DEFAULT_STAGE) -> DataFrame:
     """One stage as it is, anything else all stages added up by player.
 
     Runs on the rounded values ``select_inning`` gives, and rounds again.

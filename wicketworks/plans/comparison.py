@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketworks.operators.rollup import roll_up
-from wicketworks.schema import BOWLING, Discipline
+from wicketworks.schema import BOWLING, DEFAULT_BOWLERS, DEFAULT_PARAMETERS, Discipline
 
 
 def compare_seasons(
@@ -20,10 +20,10 @@ def compare_seasons(
 
 def compare_players(
     mart: DataFrame,
-    player1: str = "Harbhajan Singh",
-    player2: str = "A Mishra",
-    parameter1: str = "overs",
-    parameter2: str = "wickets",
+    player1: str = DEFAULT_BOWLERS[0],
+    player2: str = DEFAULT_BOWLERS[1],
+    parameter1: str = DEFAULT_PARAMETERS[0],
+    parameter2: str = DEFAULT_PARAMETERS[1],
     discipline: Discipline = BOWLING,
 ) -> DataFrame:
     """Two measures of two players per season; a measure asked for twice is one column."""

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from wicketworks.operators.ranking import metric_table, top
 from wicketworks.operators.rollup import select_inning, select_stage
-from wicketworks.schema import Discipline
+from wicketworks.schema import DEFAULT_INNING, DEFAULT_SEASON, DEFAULT_STAGE, Discipline
 
 
 def selection(
     mart: DataFrame,
     discipline: Discipline,
-    season: int | str = 2008,
-    inning: str | int = "1 & 2",
-    stage: str = "Complete (1-20)",
+    season: int | str = DEFAULT_SEASON,
+    inning: str | int = DEFAULT_INNING,
+    stage: str = DEFAULT_STAGE,
 ) -> DataFrame:
     """All measures of one season for the inning and stage asked for."""
     year = mart.where(F.col("season") == int(season))
@@ -25,9 +25,9 @@ def selection(
 def leaderboard(
     mart: DataFrame,
     discipline: Discipline,
-    season: int | str = 2008,
-    inning: str | int = "1 & 2",
-    stage: str = "Complete (1-20)",
+    season: int | str = DEFAULT_SEASON,
+    inning: str | int = DEFAULT_INNING,
+    stage: str = DEFAULT_STAGE,
     metric: str | None = None,
 ) -> DataFrame:
     """The columns shown for a metric, ranked by it."""
@@ -38,9 +38,9 @@ def leaderboard(
 def top_players(
     mart: DataFrame,
     discipline: Discipline,
-    season: int | str = 2008,
-    inning: str | int = "1 & 2",
-    stage: str = "Complete (1-20)",
+    season: int | str = DEFAULT_SEASON,
+    inning: str | int = DEFAULT_INNING,
+    stage: str = DEFAULT_STAGE,
     metric: str | None = None,
 ) -> DataFrame:
     """The six players with the largest metric."""

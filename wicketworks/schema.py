@@ -114,6 +114,13 @@ INNING_CHOICES = {
     "1 & 2": None,
 }
 
+DEFAULT_SEASON = 2008
+DEFAULT_STAGE = "Complete (1-20)"
+DEFAULT_INNING = "1 & 2"
+DEFAULT_BOWLERS = ("Harbhajan Singh", "A Mishra")
+DEFAULT_PARAMETERS = ("overs", "wickets")
+
+# Columns shown for each metric.
 BOWLING_PRESETS = {
     "overs": ("overs", "maiden", "bat_runs", "extra_runs", "wickets", "matches", "bow_avg", "economy"),
     "maiden": ("overs", "maiden", "per_dotball", "bat_runs", "extra_runs", "matches", "bow_avg", "economy"),
