@@ -48,3 +48,22 @@ def one(df) -> dict:
     rows = dicts(df)
     assert len(rows) == 1, rows
     return rows[0]
+
+PLAYERS = ("batsman", "non_striker", "bowler", "player_dismissed")
+
+
+def in_one_table(cases: dict[str, list[dict]]) -> list[dict]:
+    """All cases in one list, the players of each renamed to ``case:player``."""
+    return [
+        {**row, **{role: f"{case}:{row[role]}" for role in PLAYERS if row[role]}}
+        for case, rows in cases.items()
+        for row in rows
+    ]
+
+
+def by_player(df, player: str) -> dict[tuple[str, str], dict]:
+    """Rows by player and stage."""
+    rows = dicts(df)
+    found = {(r[player], r["stage"]): r for r in rows}
+    assert len(found) == len(rows)
+    return found

@@ -42,3 +42,14 @@ def conf(spark):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, value)
+
+
+@pytest.fixture
+def tiny_plans(conf):
+    """Saves compiling and re-planning, which take most of the time on a handful of rows."""
+    conf(
+        spark__sql__codegen__wholeStage="false",
+        spark__sql__codegen__factoryMode="NO_CODEGEN",
+        spark__sql__adaptive__enabled="false",
+        spark__sql__shuffle__partitions="1",
+    )
