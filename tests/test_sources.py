@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from balls import ball, deliveries, dicts, matches, out
-from compare import spark_bag
+from compare import TESTDATA, spark_bag
 from wicketworks.operators.distinct import first_seen, pick_positions, values_at
-from wicketworks.plans import batting_mart, bowling_mart
+from wicketworks.checks import views
+from wicketworks.plans import batting_mart, bowling_mart, build_marts, compare_seasons, open_marts
 from wicketworks.schema import BATTING_MART, BOWLING_MART, DELIVERIES, MATCHES
 from wicketworks.sources import read_csv, read_deliveries, read_mart, read_matches, write_mart
 
@@ -102,3 +103,17 @@ def test_marts_round_trip_and_prune_seasons(spark, tmp_path):
         assert spark_bag(back) == spark_bag(mart)
         plan = back.where("season = 2008")._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(season" in plan
+
+
+def test_job_from_csv_to_marts(spark, tmp_path):
+    """The generated tables written as CSV give the same marts as read from parquet."""
+    sf_dir = f"{TESTDATA}/sf0.001"
+    balls, games = views.deliveries(spark, sf_dir), views.matches(spark, sf_dir)
+    for name, table in (("balls", balls), ("games", games)):
+        table.write.option("header", True).csv(str(tmp_path / name))
+    built = build_marts(spark, str(tmp_path / "balls"), str(tmp_path / "games"), str(tmp_path / "marts"))
+    expected = bowling_mart(balls, games), batting_mart(balls, games)
+    for stored, opened, mart in zip(built, open_marts(spark, str(tmp_path / "marts")), expected):
+        assert spark_bag(stored) == spark_bag(opened) == spark_bag(mart)
+    compared = compare_seasons(built[0], "Bowler 5", "Bowler 21")
+    assert "In(bowler, [Bowler 21,Bowler 5])" in compared._jdf.queryExecution().executedPlan().toString()
