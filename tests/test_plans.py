@@ -7,7 +7,8 @@ from compare import TESTDATA, spark_bag
 from wicketworks.checks import views
 from wicketworks.checks.queries import registered
 from wicketworks.operators.qualify import bowler_exclusions, qualified_bowling
-from wicketworks.plans import batting_mart, bowling_mart, leaderboard, top_players
+from wicketworks.plans import batting_mart, bowling_mart, leaderboard
+from wicketworks.plans.marts import excluded_batsmen
 from wicketworks.schema import BATTING, BATTING_MART, BOWLING, BOWLING_MART
 from wicketworks.session import shuffle_partitions
 from wicketworks.sources import read_mart, write_mart
@@ -100,6 +101,25 @@ def test_joins_without_broadcast_give_the_same_marts(spark, conf):
         assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
 
 
+def test_a_stored_exclusion_list_is_broadcast_only_while_small(spark, conf, tmp_path):
+    balls, games = tables(spark)
+    path = str(tmp_path / "excluded")
+    excluded_batsmen(balls, games).write.parquet(path)
+    expected = spark_bag(batting_mart(balls, games))
+
+    def mart():
+        return batting_mart(balls, games, excluded=spark.read.parquet(path))
+
+    def moved(df):
+        return [line for line in plan_of(df).splitlines() if "Exchange hash" in line and "coalesce(batsman" in line]
+
+    small = mart()
+    assert not moved(small) and spark_bag(small) == expected
+    conf(**NO_BROADCAST)
+    large = mart()
+    assert len(moved(large)) == 1 and spark_bag(large) == expected
+
+
 @pytest.fixture
 def skewed(spark, tmp_path):
     """One player bats and bowls two thirds of all balls."""

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicketworks.plans.marts import batting_mart, bowling_mart
+from wicketworks.plans.marts import batting_mart, bowling_mart, excluded_batsmen
 from wicketworks.schema import BATTING_MART, BOWLING_MART, CREDITED_DISMISSALS
 from wicketworks.sources import read_deliveries, read_mart, read_matches, write_mart
 
+EXCLUDED = "batsman string, season int"
+
 
 def build_marts(
     spark: SparkSession,
@@ -19,10 +21,15 @@ def build_marts(
     *,
     kinds: Sequence[str] = CREDITED_DISMISSALS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read balls and matches, write both marts below ``folder``, return them as stored."""
+    """Read balls and matches, write both marts below ``folder``, return them as stored.
+
+    The list of excluded batsmen is written first and read back, so that its size is known.
+    """
     balls, games = read_deliveries(spark, deliveries), read_matches(spark, matches)
     write_mart(bowling_mart(balls, games, kinds=kinds), f"{folder}/bowling")
-    write_mart(batting_mart(balls, games), f"{folder}/batting")
+    excluded_batsmen(balls, games).write.mode("overwrite").parquet(f"{folder}/excluded_batsmen")
+    excluded = spark.read.schema(EXCLUDED).parquet(f"{folder}/excluded_batsmen")
+    write_mart(batting_mart(balls, games, excluded=excluded), f"{folder}/batting")
     return open_marts(spark, folder)
 
 

@@ -54,15 +54,19 @@ def batting_mart(
     matches: DataFrame,
     *,
     max_excluded_balls: int = MAX_EXCLUDED_BALLS_FACED,
+    excluded: DataFrame | None = None,
 ) -> DataFrame:
     """Batting per player, season, inning and stage, of the batsmen above the volume threshold.
 
     Two scans: one of the match and striker columns for the list of excluded strikers, one for the
-    partnerships, which need that list before they are split into players.
+    partnerships, which need that list before they are split into players. ``excluded`` may be that
+    list as stored: its size is then known when the join is planned, and a small one is broadcast
+    without the partnerships being moved.
     """
     staged = deliveries.withColumn("stage", stage_of())
     partnerships = attach_season(batting.partnership_totals(staged, ["inning", "stage"]), matches)
-    excluded = _excluded_strikers(deliveries, matches, max_excluded_balls)
+    if excluded is None:
+        excluded = excluded_batsmen(deliveries, matches, max_excluded_balls)
     flagged = null_safe_join(
         partnerships, excluded.withColumn("excluded", F.lit(True)), ["batsman", "season"], "left"
     )
@@ -76,7 +80,10 @@ def batting_mart(
     return batting.finish_batting(measures, BATTING_KEYS).select(*BATTING_MART.names)
 
 
-def _excluded_strikers(deliveries: DataFrame, matches: DataFrame, max_balls: int) -> DataFrame:
+def excluded_batsmen(
+    deliveries: DataFrame, matches: DataFrame, max_balls: int = MAX_EXCLUDED_BALLS_FACED
+) -> DataFrame:
+    """Batsman-seasons of at most ``max_balls`` balls faced, from balls added up per match first."""
     per_match = deliveries.groupBy("match_id", "batsman").agg(rows().alias("faced"))
     return (
         attach_season(per_match, matches)
