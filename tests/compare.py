@@ -39,10 +39,6 @@ def duck_bag(con, sql: str) -> Counter:
     return bag([d[0] for d in result.description], result.fetchall())
 
 
-def duck_columns(con, sql: str) -> list[str]:
-    return [d[0] for d in con.execute(sql).description]
-
-
 # Spark type -> DuckDB type, for the types results may have.
 SAME_TYPE = {
     "bigint": "BIGINT",
