@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import TESTDATA, bag, connect, duck_bag, duck_types, spark_bag, spark_types
+from wicketworks.checks.oracles import statements
+from wicketworks.checks.queries import registered
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = registered()
+SQL = statements()
 ORDERED = [n for n in QUERIES if n.startswith(("leaderboard_", "top6_", "page_2_"))]
 
 
@@ -41,6 +43,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)
