@@ -47,6 +47,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def partitions(df: DataFrame) -> int:
     """How many partitions an exchange of this session makes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import documents, sha256_or_empty
+from wicketworks.llm.common import documents, embeddings, sha256_or_empty
+from wicketworks.llm.embeddings import near_vectors
 from wicketworks.llm.language import held_out, identify_language
 from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
 from wicketworks.llm.neardup import near_duplicates
 from wicketworks.llm.packing import pack, public_tokenizer
+from wicketworks.llm.search import sign_code, top_k
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(embeddings(spark, sf_dir))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
@@ -41,7 +47,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), sign_code("embedding").alias("code"))
+    return top_k(codes, codes.where(F.col("id") % 100 == 0)).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op4_line_dedup, op7_mix_sources, op8_minhash_near_dedup, op9_language_id)
+    for f in (
+        op1_best_fit_packing,
+        op4_line_dedup,
+        op6_embedding_near_dedup,
+        op7_mix_sources,
+        op8_minhash_near_dedup,
+        op9_language_id,
+        op10_exact_top_k,
+    )
 }

@@ -84,4 +84,38 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM found LEFT JOIN sizes USING (doc_id)
 """
 
-SQL = {"op4_line_dedup": LINES, "op7_mix_sources": MIX, "op8_minhash_near_dedup": NEAR}
+VECTORS = """
+WITH RECURSIVE units AS MATERIALIZED (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.u, b.u) >= 0.9
+),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT vec_id, b FROM reached JOIN links ON other = a),
+found AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM found LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+TOP_K = """
+WITH codes AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: coalesce(x > 0, false)) AS bits FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    len(list_filter(list_zip(q.bits, c.bits), lambda x: x[1] <> x[2]))::BIGINT AS distance
+  FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank, vec_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+SQL = {
+    "op6_embedding_near_dedup": VECTORS,
+    "op10_exact_top_k": TOP_K,
+    "op4_line_dedup": LINES,
+    "op7_mix_sources": MIX,
+    "op8_minhash_near_dedup": NEAR,
+}
