@@ -14,19 +14,38 @@ from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
 from wicketworks.llm.neardup import near_duplicates
 from wicketworks.llm.packing import pack, public_tokenizer
+from wicketworks.llm.passages import dedup_passages
+from wicketworks.llm.pii import replace_pii
 from wicketworks.llm.search import sign_code, top_k
+from wicketworks.llm.substrings import dedup_substrings
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizer())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_units", "spans", F.col("kept").alias("text"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
         "row.doc_id", "n_lines", "n_dropped", sha256_or_empty(F.col("kept")).alias("kept_sha256")
     )
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", F.size("types").cast("long").alias("n_entities"), "types", F.col("replaced").alias("text"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(embeddings(spark, sf_dir))
 
@@ -56,7 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_substring_dedup,
+        op3_suffix_array_dedup,
         op4_line_dedup,
+        op5_pii_surrogates,
         op6_embedding_near_dedup,
         op7_mix_sources,
         op8_minhash_near_dedup,
