@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wicketworks.llm.common import ceil_div, cut
 
-WORDS_HELD = 200_000
+WORDS_HELD = 1_000_000
 SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -23,36 +26,87 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return str(path(name))
 
 
+#: Words of these characters alone take the short way: lower case, cut into pieces, merged by rank.
+_plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _merges(vocabulary: dict[str, int]):
+    """The vocabulary as ranks of byte strings, with a blank in place of the mark at the end of a word.
+
+    Ids are in the order of the merges, so the pair of the least id is the next to merge. A blank is never in
+    a word, and an end with its mark comes before all merges, as in the vocabulary.
+    """
+    import tiktoken
+
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printable}
+    byte |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    end = "</w>"
+    ranks = {}
+    for token, rank in vocabulary.items():
+        body, mark = (token[: -len(end)], b" ") if token.endswith(end) else (token, b"")
+        if body and all(c in byte for c in body) and (key := bytes(byte[c] for c in body) + mark) != b" ":
+            ranks[key] = rank
+    ranks[b" "] = max(vocabulary.values()) + 1
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit words, for a tokenizer that never joins what blanks part.
+    """Token ids of texts as little-endian 32-bit words, for the lower-case vocabulary with word ends.
 
-    Words between blanks and line ends are encoded once and remembered, up to a bounded number.
+    It never joins what blanks and line ends part, so words are encoded once and remembered, up to a bounded
+    number. Common words take a fast merge of the same vocabulary; words with other characters, or with marks of
+    special tokens, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = _merges(self.tokenizer.get_vocab())
+        self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        if not _plain.fullmatch(word) or "<|" in word:
+            return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        out = []
+        for piece in _piece.findall(word.lower()):
+            if (coded := self.pieces.get(piece)) is None:
+                coded = self.pieces[piece] = _bytes(self.merges.encode_ordinary(piece + " "))
+            out.append(coded)
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
-            known = self.known
-            if new := [w for w in set(parts) if w not in known]:
-                if len(known) + len(new) > WORDS_HELD:
+            try:
+                yield b"".join([known[w] for w in parts])
+            except KeyError:
+                if len(known) > WORDS_HELD:
                     known.clear()
-                    new = list(set(parts))
-                for at in range(0, len(new), 1024):
-                    some = new[at : at + 1024]
-                    for word, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                        known[word] = b"".join(i.to_bytes(4, "little") for i in coded.ids)
-            yield b"".join([known[w] for w in parts])
+                    self.pieces.clear()
+                for w in parts:
+                    if w not in known:
+                        known[w] = self.word(w)
+                yield b"".join([known[w] for w in parts])
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(1)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that what it remembers serves all its tasks."""
+    return WordEncoder(path)
 
 
 def _pieces(path: str, end: int, capacity: int, schema: pa.Schema):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, tail, step = WordEncoder(path), end.to_bytes(4, "little"), 4 * capacity
+        encode, tail, step = encoder(path), end.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             texts = (v.as_py() or "" for v in batch.column("text"))
             at, cols = [], ([], [], [], [])
