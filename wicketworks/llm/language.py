@@ -35,8 +35,8 @@ def fit(samples: dict[str, list[bytes]]) -> ByteModel:
 
     In a context that saw ``n`` symbols, ``d`` of them different, a symbol seen ``c`` times has c / (n + d).
     The escape has d / (n + d) and hands over to the next shorter context, among the symbols not seen in
-    this one (exclusion). Below order 0 all symbols are alike; a byte seen in no sample costs as much as a
-    whole byte more. A language without a context uses its longest shorter one.
+    this one (exclusion). Below order 0 all symbols are alike, but for bytes seen in no sample, which are one
+    symbol together, of a 256th of the others' weight. A language without a context uses its longest shorter one.
     """
     languages = sorted(samples)
     streams = {k: PAD + PAD.join(v) for k, v in samples.items()}
