@@ -223,10 +223,10 @@ def near_duplicates(
     buckets = classes.select("node", F.explode(F.array(*band)).alias("bucket"))
     order = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node"))
     centres = buckets.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = cut(buckets.join(centres, "bucket").select("bucket", "node", F.col("c.node").alias("centre")))
     stars = (
-        buckets.join(centres, "bucket")
-        .select(F.greatest("node", "c.node").alias("a"), F.least("node", "c.node").alias("b"))
-        .where("a != b")
+        crowded.where("node != centre")
+        .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
         .distinct()
     )
     light = lambda x: classes.select(F.col("node").alias(x), F.col("found").alias(f"found_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -247,14 +247,11 @@ def near_duplicates(
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     linked = cut(_verified(first, sets(first), percent))
-    members = (
-        classes.join(components(linked), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .select("node", "n_shingles", "found", "component", F.explode(F.array(*band)).alias("bucket"))
-    )
+    placed = crowded.select("bucket", "node").join(components(linked), "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
     spread = F.min("component") < F.max("component")
-    mixed = members.groupBy("bucket").agg(spread.alias("mixed")).where("mixed").select("bucket")
-    dealt = block_pairs(members.join(mixed, "bucket"), "bucket", "node", BLOCK)
+    mixed = placed.groupBy("bucket").agg(spread.alias("mixed")).where("mixed").select("bucket")
+    dealt = block_pairs(placed.join(mixed, "bucket"), "bucket", "node", BLOCK).join(classes.drop("id"), "node")
     dealt = grouped(dealt, ["bucket", "left_block", "right_block"])
     second = cut(dealt.mapInArrow(_likely(percent / 100, slack), "a binary, b binary"))
     more = _verified(second, sets(second), percent)
