@@ -62,7 +62,7 @@ def _anchored(length: int, gram: int):
 def _packed_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts deflated for the exchange."""
     for batch in batches:
-        packed = [zlib.compress((t.as_py() or "").encode(), 1) for t in batch.column("text")]
+        packed = [zlib.compress((t.as_py() or "").encode(), 6) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([*batch.select(["id", "text_id"]).columns, pa.array(packed, pa.binary())], ["id", "text_id", "packed"])
 
 
@@ -279,10 +279,10 @@ def dedup_substrings(
     known = counted.join(covers, ["part", "whole"])
     spans = spans.union(known.where("n > 1 and weight = 1").select(*place, "lo", run.alias("hi")))
     parts = parts.where("covers > 1 and single > 0").select("part")
-    strings = known.join(parts, "part").select(*place, "lo", "weight", "n", F.posexplode("strings").alias("i", "string"))
-    again = strings.groupBy("string").agg(F.sum("weight").alias("m")).where("m > 1").select("string")
+    strings = known.join(parts, "part").select(*place, "part", "lo", "weight", "n", F.posexplode("strings").alias("i", "string"))
+    again = strings.groupBy("part", "string").agg(F.sum("weight").alias("m")).where("m > 1").select("part", "string")
     start = F.col("lo") + F.col("i")
-    each = strings.where("n = 1").join(again, "string").select(*place, start.alias("lo"), (start + length).alias("hi"))
+    each = strings.where("n = 1").join(again, ["part", "string"]).select(*place, start.alias("lo"), (start + length).alias("hi"))
     found = spans.union(each).groupBy(*place).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     struct = "array<struct<start:long,end:long>>"
     result = _joined(packed, found, "left").mapInArrow(_without, f"id {kind}, n_bytes long, n_removed long, spans {struct}, kept binary")
