@@ -61,11 +61,28 @@ def test_csv_files_must_agree_on_the_header(spark, tmp_path):
         read_matches(spark, str(tmp_path)).collect()
 
 
-def test_parquet_is_read_by_name(spark, tmp_path):
-    path = str(tmp_path / "matches.parquet")
-    spark.createDataFrame([("x", 2008, 1)], "city string, season bigint, id int").write.parquet(path)
-    df = read_matches(spark, path)
-    assert dicts(df) == [{"id": 1, "season": 2008}] and df.schema == MATCHES
+def test_parquet_is_read_under_any_name(spark, tmp_path):
+    for name in ("matches.parquet", "matches_dir"):
+        path = str(tmp_path / name)
+        spark.createDataFrame([("x", 2008, 1)], "city string, season bigint, id int").write.parquet(path)
+        df = read_matches(spark, path, "parquet")
+        assert dicts(df) == [{"id": 1, "season": 2008}] and df.schema == MATCHES
+
+
+def test_formats_are_not_guessed(spark, tmp_path):
+    csv = write(tmp_path / "m.csv", "id,season\n1,2008\n")
+    with pytest.raises(ValueError, match="named as parquet"):
+        read_matches(spark, [csv, str(tmp_path / "m.parquet")])
+    with pytest.raises(ValueError, match="neither"):
+        read_matches(spark, csv, "json")
+
+
+def test_whole_numbers_in_any_notation(spark, tmp_path):
+    texts = ["2008.0", " 2009", "1e3", "NA", "", "2008.5", "x", "9007199254740993"]
+    path = write(tmp_path / "m.csv", "id,season\n" + "".join(f"{t},{t}\n" for t in texts))
+    found = dicts(read_matches(spark, path))
+    assert [r["id"] for r in found] == [2008, 2009, 1000, None, None, None, None, 9007199254740993]
+    assert [r["season"] for r in found] == [2008, 2009, 1000, None, None, None, None, None]
 
 
 def test_first_seen_follows_the_order_of_the_file(spark, tmp_path, conf):

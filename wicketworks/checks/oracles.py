@@ -27,7 +27,8 @@ _BOWLER_EXCLUSIONS = """bowler_volume as (
 bowler_exclusions as (select * from bowler_volume where overs <= 25)"""
 
 _BATSMAN_EXCLUSIONS = """batsman_volume as (
-  select batsman, season, count(*) as ballsfaced, sum(batsman_runs)::bigint as runs
+  select batsman, season, count(*) as ballsfaced,
+    case when count(batsman_runs) = count(*) then sum(batsman_runs)::bigint end as runs
   from combined group by batsman, season),
 batsman_exclusions as (
   select *, concat(batsman, season) as combine_batsman from batsman_volume where ballsfaced <= 90)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketworks.functions import null_safe_join, paste_key, rows
+from wicketworks.functions import null_safe_join, paste_key, rows, strict_sum
 from wicketworks.schema import BALLS_PER_OVER, MAX_EXCLUDED_BALLS_FACED, MAX_EXCLUDED_OVERS
 
 
@@ -35,9 +35,9 @@ def qualified_bowling(facts: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 
 def batsman_volume(facts: DataFrame) -> DataFrame:
-    """Balls faced and runs made per striker and season."""
+    """Balls faced and runs made per striker and season; runs are missing if those of a ball are."""
     return facts.groupBy("batsman", "season").agg(
-        rows().alias("ballsfaced"), F.sum("batsman_runs").alias("runs")
+        rows().alias("ballsfaced"), strict_sum("batsman_runs").alias("runs")
     )
 
 

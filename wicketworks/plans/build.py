@@ -20,12 +20,13 @@ def build_marts(
     folder: str,
     *,
     kinds: Sequence[str] = CREDITED_DISMISSALS,
+    format: str = "csv",
 ) -> tuple[DataFrame, DataFrame]:
     """Read balls and matches, write both marts below ``folder``, return them as stored.
 
-    The list of excluded batsmen is written first and read back, so that its size is known.
+    ``format`` is that of both inputs, ``csv`` or ``parquet``. The list of excluded batsmen is written first and read back, so that its size is known.
     """
-    balls, games = read_deliveries(spark, deliveries), read_matches(spark, matches)
+    balls, games = read_deliveries(spark, deliveries, format), read_matches(spark, matches, format)
     write_mart(bowling_mart(balls, games, kinds=kinds), f"{folder}/bowling")
     excluded_batsmen(balls, games).write.mode("overwrite").parquet(f"{folder}/excluded_batsmen")
     excluded = spark.read.schema(EXCLUDED).parquet(f"{folder}/excluded_batsmen")

@@ -14,7 +14,12 @@ def _typed(field: T.StructField) -> Column:
     if isinstance(field.dataType, T.StringType):
         # Spark reads a blank as null and NA as text; here blank is '' and NA is null.
         return F.when(text == "NA", F.lit(None)).otherwise(F.coalesce(text, F.lit(""))).alias(field.name)
-    return text.try_cast(field.dataType).alias(field.name)
+    number = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        # Whole numbers may be written with decimals or an exponent.
+        wide = text.try_cast("double")
+        number = F.coalesce(number, F.when(wide == F.floor(wide), wide.try_cast(field.dataType)))
+    return number.alias(field.name)
 
 
 def read_csv(
@@ -28,7 +33,8 @@ def read_csv(
     """The columns of ``schema`` from CSV files with a header, found by name.
 
     Other columns are not parsed. In a text column a blank is an empty string and ``NA`` is null;
-    in a number column a blank, ``NA`` or any text that is no number is null. All files must have
+    in a number column a blank, ``NA`` or any text that is no number is null; an integer may be written
+    ``2008.0`` or ``1e3``. All files must have
     the header of the first. ``multi_line`` allows line breaks inside quotes, at the price of one
     task per file. ``row_order`` names a column to hold the place of the row in the files.
     """
@@ -51,19 +57,27 @@ def file_order() -> Column:
     )
 
 
-def _read(spark: SparkSession, path: str | list[str], schema: T.StructType, **options) -> DataFrame:
-    first = path if isinstance(path, str) else path[0]
-    if first.rstrip("/").endswith(".parquet"):
+def _read(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, format: str, **options
+) -> DataFrame:
+    if format == "csv":
+        named = [p for p in ([path] if isinstance(path, str) else path) if p.rstrip("/").endswith(".parquet")]
+        if named:
+            raise ValueError(f"{named[0]} is named as parquet; say format='parquet'")
+        return read_csv(spark, path, schema, **options)
+    if format == "parquet":
+        if options:
+            raise ValueError(f"options of CSV: {', '.join(options)}")
         paths = [path] if isinstance(path, str) else path
         return spark.read.parquet(*paths).select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
-    return read_csv(spark, path, schema, **options)
+    raise ValueError(f"format {format!r} is neither 'csv' nor 'parquet'")
 
 
-def read_deliveries(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """One row per ball. CSV, or parquet if the path ends in ``.parquet``."""
-    return _read(spark, path, DELIVERIES, **options)
+def read_deliveries(spark: SparkSession, path: str | list[str], format: str = "csv", **options) -> DataFrame:
+    """One row per ball, from files of one format, ``csv`` or ``parquet``, under any name."""
+    return _read(spark, path, DELIVERIES, format, **options)
 
 
-def read_matches(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """One row per match. CSV, or parquet if the path ends in ``.parquet``."""
-    return _read(spark, path, MATCHES, **options)
+def read_matches(spark: SparkSession, path: str | list[str], format: str = "csv", **options) -> DataFrame:
+    """One row per match, from files of one format, ``csv`` or ``parquet``, under any name."""
+    return _read(spark, path, MATCHES, format, **options)
