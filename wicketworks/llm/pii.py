@@ -116,8 +116,12 @@ def surrogate(kind: Column, mention: Column, who: Column, attempt: Column, key:
     names = F.create_map(*[x for k, v in NAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     given, family = names[F.concat_ws(" ", gender, script)], names[F.concat_ws(" ", F.lit("family"), script)]
     pick = lambda list_, n: F.element_at(list_, F.pmod(n, F.size(list_)).cast("int") + 1)
-    suffix = F.initcap(F.substring(letters, 30, 5))
-    invented = F.when(script == "Latin", F.concat(pick(family, F.floor(turn / 16)), F.lower(suffix))).otherwise(pick(family, F.floor(turn / 16)))
+    endings = {"Cyrillic": "бвгджзклмнпрстфх", "Greek": "βγδζθκλμνξπρστφχ"}
+    suffix = F.substring(letters, 30, 5)
+    for other, consonants in endings.items():
+        suffix = F.when(script == other, F.translate(F.substring(digest, 30, 5), HEX, consonants)).otherwise(suffix)
+    # The lists alone would run out; with five letters more there is a name for every entity.
+    invented = F.concat(pick(family, F.floor(turn / 16)), suffix)
     two = mention.rlike(r"^\S+\s\S+\s\S+$")
     name = F.concat(title, F.when(two, F.concat(pick(given, turn), F.lit(" "), invented)).otherwise(invented))
     return (
