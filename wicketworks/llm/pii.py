@@ -22,19 +22,22 @@ NAMES = {
     "family Cyrillic": ("Волков", "Зайцев", "Лебедев", "Морозов", "Орлов", "Соколов"),
     "family Greek": ("Βλάχος", "Δήμου", "Καρράς", "Μάρκου", "Παππάς", "Ρήγας"),
 }
-#: What an entity of each type looks like. The first that matches at a place counts.
+_initials = "".join(sorted({title[0] for title in FEMALE + MALE}))
+#: What an entity of each type looks like. The first that matches at a place counts. Each starts with
+#: a test of one character, as most places of a text are inside words; \G is where the last mention ended.
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'=:,;]{8,}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<=[=:\s\"'])(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'=:,;]{8,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "name": rf"\b(?:{'|'.join(FEMALE + MALE)})\.?\s\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)?",
+    "card": r"(?=[0-9])(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9-])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?=[0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "name": rf"(?=[{_initials}])\b(?:{'|'.join(FEMALE + MALE)})\.?\s\p{{Lu}}\p{{Ll}}+(?:\s\p{{Lu}}\p{{Ll}}+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
+#: After a letter only what starts with a digit, + or ( can start, or what follows the last mention.
+PATTERN = r"(?:(?<![A-Za-z])|(?=[0-9+(])|\G)(?:" + "|".join(f"(?:{p})" for p in TYPES.values()) + ")"
 HEX = "0123456789abcdef"
 
 
