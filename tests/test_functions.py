@@ -1,4 +1,5 @@
 import math
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,13 +49,21 @@ def test_ratios(spark):
     assert [r["g"] for r in rows] == [2.5, 0.0, 0.0, 0.0, None, None]
 
 
-def test_rounding_goes_to_the_even_tenth_and_leaves_whole_numbers(spark):
-    df = spark.createDataFrame(
-        [(6.25, 3), (6.75, 4), (53 / 40 * 6, 5), (INF, 6), (NAN, 7)], "x double, n bigint"
-    )
+def test_rounding_goes_to_the_nearest_tenth_of_the_stored_number(spark):
+    ties = {6.25: 6.2, 6.75: 6.8, 0.25: 0.2, -6.25: -6.2}
+    beside = {53 / 40 * 6: 7.9, 28.05: 28.1, 40.15: 40.1, 15.05: 15.1, -28.05: -28.1}
+    expected = {**ties, **beside, INF: INF, -INF: -INF}
+    df = spark.createDataFrame([(x, 3) for x in [*expected, NAN, None]], "x double, n bigint")
     rows = dicts(round_numeric(df))
-    assert all(same(r["x"], e) for r, e in zip(rows, [6.2, 6.8, 8.0, INF, NAN]))
-    assert [r["n"] for r in rows] == [3, 4, 5, 6, 7]
+    assert all(same(r["x"], e) for r, e in zip(rows, [*expected.values(), NAN, None]))
+    assert {r["n"] for r in rows} == {3}
+
+
+def test_rounding_agrees_with_decimal_arithmetic(spark):
+    values = [a / b * c for a in range(300) for b in range(1, 40) for c in (1, 6, 100)] + [n / 20 for n in range(4000)]
+    plain = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    got = [r["x"] for r in round_numeric(plain).orderBy("i").collect()]
+    assert got == [float(Decimal(x).quantize(Decimal("0.1"), ROUND_HALF_EVEN)) for x in values]
 
 
 def test_tenths_are_summed_exactly(spark):

@@ -48,6 +48,15 @@ _STAGED = f"facts as (select *, {_STAGE} from qualified)"
 _UNSTAGED = "facts as (select * from qualified)"
 
 
+def _tenth(value: str) -> str:
+    """The tenth nearest to a stored number of 0 or more, ties to even, in whole numbers of 2 ** -62."""
+    unit = "4611686018427387904::hugeint"
+    scaled = f"try_cast(({value})::double * 4611686018427387904 as hugeint) * 10"
+    whole, twice = f"({scaled}) // {unit}", f"(({scaled}) % {unit}) * 2"
+    up = f"case when {twice} > {unit} or {twice} = {unit} and ({whole}) % 2 = 1 then 1 else 0 end"
+    return f"case when isfinite(({value})::double) then (({whole}) + {up})::double / 10 else ({value})::double end"
+
+
 def _bowling_tables(facts: str, k: str) -> str:
     return f"""{_BOWLING_FACTS}, {facts},
 balls as (select {k}, count(*) as balls, count(*) / 6.0::double as overs from facts group by {k}),
@@ -74,12 +83,12 @@ merged as (
   full join wickets using ({k}) full join played using ({k}) full join fives using ({k})
   full join fours using ({k})),
 mart as (
-  select {k}, balls, round_even(overs, 1) as overs, coalesce(dotballs, 0) as dotballs,
+  select {k}, balls, {_tenth("overs")} as overs, coalesce(dotballs, 0) as dotballs,
     coalesce(maiden, 0) as maiden, bat_runs, extra_runs, coalesce(wickets, 0) as wickets, matches,
     coalesce(fivewicket, 0) as fivewicket, coalesce(fourwicket, 0) as fourwicket,
-    round_even(coalesce(bat_runs::double / wickets, 0), 1) as bow_avg,
-    round_even(coalesce(bat_runs::double / overs, 0), 1) as economy,
-    round_even(coalesce((dotballs::double / balls) * 100, 0), 1) as per_dotball
+    {_tenth("coalesce(bat_runs::double / wickets, 0)")} as bow_avg,
+    {_tenth("coalesce(bat_runs::double / overs, 0)")} as economy,
+    {_tenth("coalesce((dotballs::double / balls) * 100, 0)")} as per_dotball
   from merged)"""
 
 
@@ -128,9 +137,9 @@ filled as (
   from merged),
 mart as (
   select *,
-    case when dismissed = 0 then 0 else round_even(runs_made::double / dismissed, 1) end as batting_avg,
+    case when dismissed = 0 then 0 else {_tenth("runs_made::double / dismissed")} end as batting_avg,
     case when balls_faced = 0 then 0
-      else round_even((runs_made::double / balls_faced) * 100, 1) end as strike_rate
+      else {_tenth("(runs_made::double / balls_faced) * 100")} end as strike_rate
   from filled)"""
 
 
@@ -154,7 +163,7 @@ _INNINGS_SUM = "sum(innings_played)::bigint as innings_played, "
 
 def _bowling_rollup(source: str, keys: str, rounded: bool = True) -> str:
     def shown(ratio: str) -> str:
-        return f"round_even({ratio}, 1)" if rounded else ratio
+        return _tenth(ratio) if rounded else ratio
 
     return f"""select *, {shown('bat_runs::double / wickets::double')} as bow_avg,
     {shown('bat_runs::double / overs')} as economy,
@@ -164,8 +173,8 @@ def _bowling_rollup(source: str, keys: str, rounded: bool = True) -> str:
 
 def _batting_rollup(source: str, keys: str, innings: bool) -> str:
     sums = _BATTING_SUMS.format(innings=_INNINGS_SUM if innings else "")
-    return f"""select *, round_even(runs_made::double / dismissed::double, 1) as batting_avg,
-    round_even((runs_made::double / balls_faced::double) * 100, 1) as strike_rate
+    return f"""select *, {_tenth("runs_made::double / dismissed::double")} as batting_avg,
+    {_tenth("(runs_made::double / balls_faced::double) * 100")} as strike_rate
   from (select {keys}, {sums} from {source} group by {keys})"""
 
 

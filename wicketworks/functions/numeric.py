@@ -46,8 +46,22 @@ def ieee_ratio(top: Column, bottom: Column) -> Column:
 
 
 def round_one(value: Column) -> Column:
-    """One decimal, ties to even."""
-    return F.rint(value * 10) / 10
+    """The tenth nearest to the number as it is stored, ties to even.
+
+    The product with ten may be rounded onto a tie that the number itself is not on. What the product lost
+    is exact as the error of a sum, and says on which side of the tie the number is.
+    """
+    most, rest = value * 8, value * 2
+    product = most + rest
+    lost = rest - (product - most)
+    whole = F.rint(product)
+    beyond = product - whole
+    nearest = (
+        F.when((beyond == 0.5) & (lost > 0), whole + 1)
+        .when((beyond == -0.5) & (lost < 0), whole - 1)
+        .otherwise(whole)
+    )
+    return nearest / 10
 
 
 def _columns_of(df: DataFrame, kind: type[T.DataType]) -> list[str]:
