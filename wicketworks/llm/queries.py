@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import documents, embeddings, sha256_or_empty
+from wicketworks.llm.common import documents, embeddings, ready, sha256_or_empty
+from wicketworks.llm.conversations import damaged, repair, with_unrepaired
 from wicketworks.llm.embeddings import near_vectors
 from wicketworks.llm.language import held_out, identify_language
+from wicketworks.llm.lexical import rank_documents
 from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
 from wicketworks.llm.neardup import near_duplicates
@@ -18,6 +20,14 @@ from wicketworks.llm.passages import dedup_passages
 from wicketworks.llm.pii import replace_pii
 from wicketworks.llm.search import sign_code, top_k
 from wicketworks.llm.substrings import dedup_substrings
+from wicketworks.llm.urls import filter_urls, rule_table
+
+RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +81,19 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(codes, codes.where(F.col("id") % 100 == 0)).withColumnRenamed("id", "vec_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ready(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return with_unrepaired(repair(damaged(rows)), rows)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_language_id,
         op10_exact_top_k,
+        op11_conversation_repair,
+        op12_url_filters,
+        op13_ranked_search,
     )
 }
