@@ -3,11 +3,19 @@
 import pytest
 from pyspark.sql import functions as F
 
-from compare import TESTDATA, spark_bag
+from compare import TESTDATA, bag, spark_bag
 from wicketworks.checks import views
 from wicketworks.checks.queries import registered
-from wicketworks.operators.qualify import bowler_exclusions, qualified_bowling
+from wicketworks.functions import natural_full_join
+from wicketworks.operators.merge import merge_all
+from wicketworks.operators.qualify import (
+    batsman_exclusions,
+    bowler_exclusions,
+    qualified_batting,
+    qualified_bowling,
+)
 from wicketworks.plans import batting_mart, bowling_mart, leaderboard
+from wicketworks.plans.facts import batting_facts, bowling_facts
 from wicketworks.plans.marts import excluded_batsmen
 from wicketworks.schema import BATTING, BATTING_MART, BOWLING, BOWLING_MART
 from wicketworks.session import shuffle_partitions
@@ -161,19 +169,100 @@ def test_a_hot_striker_is_split_in_the_join_with_the_exclusions(spark, conf, ske
     assert "SortMergeJoin(skew=true)" in plan_of(df)
 
 
-def test_a_hot_bowler_is_split_when_facts_are_qualified(spark, conf, skewed):
+PLAYER_FACTS = {
+    "bowler": (bowling_facts, bowler_exclusions, qualified_bowling, {"max_excluded_overs": 20}, 20),
+    "batsman": (batting_facts, batsman_exclusions, qualified_batting, {"max_excluded_balls": 40}, 40),
+}
+
+
+def moves_of_balls(plan: str, scan: str) -> list[str]:
+    """Exchanges that rows of a scan pass before they are added up."""
+    lines, moves = plan.splitlines(), []
+    for number, line in enumerate(lines):
+        if scan in line and "Scan" in line:
+            above = way_up(plan, number)
+            end = next((i for i, op in enumerate(above) if "Aggregate" in op), len(above))
+            moves += [op for op in above[:end] if op.startswith("Exchange")]
+    return moves
+
+
+@pytest.mark.parametrize("player", PLAYER_FACTS)
+def test_no_ball_is_moved_by_player_to_be_qualified(spark, conf, skewed, player, tmp_path):
+    """Two thirds of the balls have one player; each way of qualifying gives the same balls."""
     balls, games = skewed
+    build, listed, qualify, options, limit = PLAYER_FACTS[player]
     facts = balls.join(games.withColumnRenamed("id", "match_id"), "match_id")
+    exclusions = listed(facts, limit)
 
-    def totals():
-        kept = qualified_bowling(facts, bowler_exclusions(facts))
-        return kept.groupBy("bowler", "season").agg(F.sum(F.hash("match_id", "over", "batsman")).alias("x"))
+    def digest(df):
+        return spark_bag(df.groupBy(player, "season").agg(F.count("*"), F.sum(F.hash("match_id", "over", "batsman")).alias("x")))
 
-    expected = spark_bag(totals())
-    conf(**SPLIT_SKEW)
-    df = totals()
-    assert spark_bag(df) == expected
-    assert "SortMergeJoin(skew=true)" in plan_of(df)
+    low = exclusions.select(player, "season")
+    expected = digest(facts.join(low, [player, "season"], "left_anti"))
+    assert len(expected) < facts.select(player, "season").distinct().count()
+    conf(**NO_BROADCAST)
+    for df in (build(balls, games, **options), qualify(facts, exclusions)):
+        plan = plan_of(df)
+        moves = moves_of_balls(plan, "batsman_runs")
+        assert moves and not [m for m in moves if f"{player}#" in m.split("]")[0]]
+        assert all("hashpartitioning(match_id" in m for m in moves)
+        assert digest(df) == expected
+    conf(spark__sql__autoBroadcastJoinThreshold="10m")
+    stored = build(balls, games, **options, store=str(tmp_path / "listed"))
+    assert not moves_of_balls(plan_of(stored), "batsman_runs") and digest(stored) == expected
+    exclusions.write.parquet(str(tmp_path / "exclusions"))
+    small = qualify(facts, spark.read.parquet(str(tmp_path / "exclusions")))
+    assert "LeftAnti" in plan_of(small) and digest(small) == expected
+
+
+def test_balls_without_a_match_are_qualified_too(spark, conf):
+    rows = [(m, f"P{i % 5}" if i % 7 else None, 2008 if i % 3 else None, i) for i in range(100) for m in (1, 2, None)]
+    facts = spark.createDataFrame(rows, "match_id int, bowler string, season int, over int")
+    low = [("P1", 2008), ("P2", None), (None, 2008), (None, None)]
+    exclusions = spark.createDataFrame(low, "bowler string, season int")
+    conf(**NO_BROADCAST)
+    assert spark_bag(qualified_bowling(facts, exclusions)) == bag(facts.columns, [r for r in rows if (r[1], r[2]) not in low])
+
+
+def test_requests_for_a_season_drop_the_other_balls_first(spark, conf, skewed, tmp_path):
+    balls, games = skewed
+    games.write.parquet(str(tmp_path / "games"))
+    games = spark.read.parquet(str(tmp_path / "games"))
+    for mart in (bowling_mart, batting_mart):
+        expected = spark_bag(mart(balls, games).where("season = 2008"))
+        df = mart(balls, games, season=2008)
+        plan = plan_of(df)
+        assert spark_bag(df) == expected and "EqualTo(season,2008)" in plan
+        for number, line in enumerate(plan.splitlines()):
+            if "FileScan" in line and "batsman#" in line:
+                above = way_up(plan, number)
+                first = next(i for i, op in enumerate(above) if "Aggregate" in op)
+                assert any("LeftSemi" in op for op in above[:first]) and not any(op.startswith("Exchange") for op in above[:first])
+        conf(spark__sql__autoBroadcastJoinThreshold="1k")  # more ids than that: balls are added up first
+        large = mart(balls, games, season=2008)
+        assert "LeftSemi" not in plan_of(large) and "EqualTo(season,2008)" in plan_of(large) and spark_bag(large) == expected
+        conf(spark__sql__autoBroadcastJoinThreshold="10m")
+
+
+def test_merged_measures_and_unions_come_from_one_rollup(spark):
+    for name, most in (("bowling_merge_all", 1), ("batting_merge_all", 2), ("bowling_stage_union", 2), ("batting_stage_union", 2)):
+        plan = plan_of(registered()[name](spark, SF))
+        assert 1 <= len(ball_scans(plan)) <= most and "FullOuter" not in plan
+
+
+def test_tables_are_merged_in_one_exchange(spark):
+    keys = "k int, n string, "
+    one = spark.createDataFrame([(1, "a", 5), (1, None, None), (None, None, 7)], keys + "x int")
+    two = spark.createDataFrame([(1, "a", 0.5), (2, "b", None), (None, None, 1.5)], keys + "y double")
+    three = spark.createDataFrame([(1, None, "p"), (3, "c", "q")], keys + "z string")
+    merged = merge_all([one, two, three])
+    plan = plan_of(merged)
+    assert plan.count("Exchange") == 1 and "Join" not in plan and merged.columns == ["k", "n", "x", "y", "z"]
+    assert spark_bag(merged) == spark_bag(natural_full_join(natural_full_join(one, two), three))
+    with pytest.raises(Exception, match="occurs twice"):
+        merge_all([one, two.union(two)]).collect()
+    chain = [one, two.withColumnRenamed("n", "m"), three]  # other columns in common: joined one by one
+    assert spark_bag(merge_all(chain)) == spark_bag(natural_full_join(natural_full_join(*chain[:2]), three))
 
 
 def test_a_hot_bowler_is_spread_over_the_tasks_of_the_first_exchange(spark, conf, skewed):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wicketworks.checks import views
 from wicketworks.functions import (
-    in_stage,
     natural_full_join,
     paste_key,
     with_stage,
@@ -17,14 +16,11 @@ from wicketworks.functions import (
 from wicketworks.operators import batting, bowling
 from wicketworks.operators.combine import combine
 from wicketworks.operators.distinct import first_seen, pick_positions, player_choices, seasons
-from wicketworks.operators.merge import distinct_union, merge_all
 from wicketworks.operators.qualify import (
     batsman_exclusions,
     batsman_volume,
     bowler_exclusions,
     bowler_volume,
-    qualified_batting,
-    qualified_bowling,
 )
 from wicketworks.operators.ranking import page
 from wicketworks.operators.rollup import select_inning
@@ -37,8 +33,9 @@ from wicketworks.plans import (
     selection,
     top_players,
 )
-from wicketworks.plans.marts import BATTING_KEYS, BOWLING_KEYS
-from wicketworks.schema import BATTING, BOWLING, STAGES, Discipline
+from wicketworks.plans.facts import batting_facts, bowling_facts
+from wicketworks.plans.marts import BATTING_KEYS, BOWLING_KEYS, batting_totals, bowling_totals, excluded_batsmen
+from wicketworks.schema import BATTING, BOWLING, DEFAULT_SEASON, Discipline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,22 +47,20 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bowling_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _combined(spark, sf_dir)
-    return qualified_bowling(facts, bowler_exclusions(facts))
+    return bowling_facts(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir))
 
 
 def _batting_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    facts = _combined(spark, sf_dir)
-    exclusions = batsman_exclusions(facts)
-    return qualified_batting(facts, exclusions), exclusions
+    balls, games = views.deliveries(spark, sf_dir), views.matches(spark, sf_dir)
+    return batting_facts(balls, games), excluded_batsmen(balls, games)
 
 
-def _bowling_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bowling_mart(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir))
+def _bowling_mart(spark: SparkSession, sf_dir: str, season: int | None = None) -> DataFrame:
+    return bowling_mart(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir), season=season)
 
 
-def _batting_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batting_mart(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir))
+def _batting_mart(spark: SparkSession, sf_dir: str, season: int | None = None) -> DataFrame:
+    return batting_mart(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir), season=season)
 
 
 def _on_facts(function: Callable[[DataFrame], DataFrame]) -> Query:
@@ -92,23 +87,21 @@ def _on_batting(function: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _bowling_stage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = _bowling_facts(spark, sf_dir)
-    return distinct_union(
-        *(
-            bowling.bowling_summary(facts.where(in_stage(stage))).withColumn("stage", F.lit(stage))
-            for stage in STAGES
-        )
-    )
+    """The tables of the stages one below the other: grouped once, with the stage as a key."""
+    return bowling.bowling_summary(with_stage(_bowling_facts(spark, sf_dir)), BOWLING_KEYS)
 
 
 def _batting_stage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts, exclusions = _batting_facts(spark, sf_dir)
-    return distinct_union(
-        *(
-            batting.batting_summary(facts.where(in_stage(stage)), exclusions).withColumn("stage", F.lit(stage))
-            for stage in STAGES
-        )
-    )
+    totals = batting_totals(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir))
+    return batting.finish_batting(batting.with_not_outs(totals), BATTING_KEYS)
+
+
+def _bowling_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bowling.as_merged(bowling_totals(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir)))
+
+
+def _batting_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batting.as_merged(batting_totals(views.deliveries(spark, sf_dir), views.matches(spark, sf_dir)))
 
 
 def _batting_not_outs(facts: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -136,10 +129,19 @@ def _on_mart(mart: Query, function: Callable[..., DataFrame], *args, **options)
     return lambda spark, sf_dir: function(mart(spark, sf_dir), *args, **options)
 
 
+def _of_season(mart: Callable[..., DataFrame], function: Callable[..., DataFrame], discipline: Discipline, season: int = DEFAULT_SEASON, *args, **options) -> Query:
+    """A request for one season, from the balls of that season."""
+    return lambda spark, sf_dir: function(mart(spark, sf_dir, season), discipline, season, *args, **options)
+
+
 def _year_inning(mart: DataFrame, discipline: Discipline, season: int, inning: str) -> DataFrame:
     return select_inning(mart.where(F.col("season") == season), discipline, inning)
 
 
+def _second_page(mart: DataFrame, discipline: Discipline, season: int) -> DataFrame:
+    return page(leaderboard(mart, discipline, season), 2)
+
+
 def _rollups() -> dict[str, Query]:
     """Each request of the two tables before its columns are chosen."""
     named: dict[str, Query] = {}
@@ -148,16 +150,16 @@ def _rollups() -> dict[str, Query]:
         ("batting", _batting_mart, BATTING),
     ):
         for inning, label in (("1", "1"), ("2", "2"), ("1 & 2", "all")):
-            named[f"{name}_inning_{label}"] = _on_mart(mart, _year_inning, discipline, 2008, inning)
+            named[f"{name}_inning_{label}"] = _of_season(mart, _year_inning, discipline, 2008, inning)
         for stage, label in (
             ("Powerplay (1-6)", "powerplay"),
             ("Middle (7-15)", "middle"),
             ("Death (16-20)", "death"),
         ):
-            named[f"{name}_stage_{label}"] = _on_mart(mart, selection, discipline, 2009, "1 & 2", stage)
-        named[f"{name}_complete"] = _on_mart(mart, selection, discipline, 2008)
-        named[f"{name}_complete_inning_1"] = _on_mart(mart, selection, discipline, 2009, "1")
-        named[f"{name}_inning_2_death"] = _on_mart(
+            named[f"{name}_stage_{label}"] = _of_season(mart, selection, discipline, 2009, "1 & 2", stage)
+        named[f"{name}_complete"] = _of_season(mart, selection, discipline, 2008)
+        named[f"{name}_complete_inning_1"] = _of_season(mart, selection, discipline, 2009, "1")
+        named[f"{name}_inning_2_death"] = _of_season(
             mart, selection, discipline, 2009, "2", "Death (16-20)"
         )
     return named
@@ -170,9 +172,9 @@ def _rankings() -> dict[str, Query]:
         ("batting", _batting_mart, BATTING),
     ):
         for metric in discipline.metrics:
-            named[f"leaderboard_{name}_{metric}"] = _on_mart(mart, leaderboard, discipline, metric=metric)
-            named[f"top6_{name}_{metric}"] = _on_mart(mart, top_players, discipline, metric=metric)
-        named[f"top6_{name}_unknown_metric"] = _on_mart(
+            named[f"leaderboard_{name}_{metric}"] = _of_season(mart, leaderboard, discipline, metric=metric)
+            named[f"top6_{name}_{metric}"] = _of_season(mart, top_players, discipline, metric=metric)
+        named[f"top6_{name}_unknown_metric"] = _of_season(
             mart, top_players, discipline, metric="Wickets taken"
         )
     return named
@@ -202,9 +204,7 @@ def registered() -> dict[str, Query]:
         "bowling_matches": _on_bowling(bowling.matches_bowled),
         "bowling_five": _on_bowling(bowling.hauls, 4, "fivewicket"),
         "bowling_four": _on_bowling(bowling.hauls, 3, "fourwicket"),
-        "bowling_merge_all": lambda spark, sf_dir: merge_all(
-            bowling.bowling_measures(with_stage(_bowling_facts(spark, sf_dir)), BOWLING_KEYS)
-        ),
+        "bowling_merge_all": _bowling_merged,
         "bowling_summary": lambda spark, sf_dir: bowling.bowling_summary(_bowling_facts(spark, sf_dir)),
         "bowling_stage_union": _bowling_stage_union,
         "bowling_mart": _bowling_mart,
@@ -231,21 +231,21 @@ def registered() -> dict[str, Query]:
                 batting.milestones(f, batting.is_half_century(), "half_centuries", keys),
             )
         ),
-        "batting_merge_all": _on_batting(lambda f, x: merge_all(batting.batting_measures(f, x, keys))),
+        "batting_merge_all": _batting_merged,
         "batting_summary": lambda spark, sf_dir: batting.batting_summary(*_batting_facts(spark, sf_dir)),
         "batting_stage_union": _batting_stage_union,
         "batting_mart": _batting_mart,
         # Requests.
         **_rollups(),
         **_rankings(),
-        "leaderboard_bowling_inning_1_powerplay": _on_mart(
+        "leaderboard_bowling_inning_1_powerplay": _of_season(
             _bowling_mart, leaderboard, BOWLING, 2009, "1", "Powerplay (1-6)", "economy"
         ),
-        "leaderboard_batting_inning_2_middle": _on_mart(
+        "leaderboard_batting_inning_2_middle": _of_season(
             _batting_mart, leaderboard, BATTING, 2009, "2", "Middle (7-15)", "strike_rate"
         ),
-        "page_2_bowling": lambda spark, sf_dir: page(leaderboard(_bowling_mart(spark, sf_dir), BOWLING), 2),
-        "page_2_batting": lambda spark, sf_dir: page(leaderboard(_batting_mart(spark, sf_dir), BATTING), 2),
+        "page_2_bowling": _of_season(_bowling_mart, _second_page, BOWLING),
+        "page_2_batting": _of_season(_batting_mart, _second_page, BATTING),
         "bowler_compare_p1": _on_mart(
             _bowling_mart, compare_players, BOWLER_1, BOWLER_2, "overs", "wickets"
         ),

@@ -206,6 +206,17 @@ def with_not_outs(totals: DataFrame) -> DataFrame:
     )
 
 
+def as_merged(totals: DataFrame) -> DataFrame:
+    """Totals of qualified players as the eight measure tables merged on their keys would show them.
+
+    A measure that a key has no row for is missing there, not 0: the striker's for who never faced a ball, and counts of
+    some of the rows for who has none.
+    """
+    faced = {c: F.when(F.col("balls_faced") > 0, F.col(c)) for c in ("runs_made", "balls_faced")}
+    counted = ("dismissed", "centuries", "half_centuries", "boundries", "sixes")
+    return with_not_outs(totals).withColumns({**faced, **{c: F.nullif(F.col(c), F.lit(0)) for c in counted}})
+
+
 def finish_batting(measures: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Ratios over the measures, with missing and infinite values as 0 and one decimal."""
     rated = fill_missing(measures).withColumns(

@@ -142,6 +142,15 @@ def player_totals(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def as_merged(totals: DataFrame) -> DataFrame:
+    """Totals as the eight measure tables merged on their keys would show them.
+
+    A measure that counts some of the rows only has no row for a key without any, so it is missing there, not 0.
+    """
+    counted = ("dotballs", "maiden", "wickets", "fivewicket", "fourwicket")
+    return totals.withColumns({c: F.nullif(F.col(c), F.lit(0)) for c in counted}).withColumn("overs", _overs())
+
+
 def finish_bowling(totals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Overs and ratios, missing values as 0, one decimal."""
     filled = fill_missing(totals).withColumn("overs", _overs())

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wicketworks.functions import counts_small
+
+#: What an id takes in a broadcast table.
+ID_BYTES = 32
+
 
 def combine(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     """Every ball with the columns of its match; the key keeps the name ``match_id``.
@@ -14,6 +19,20 @@ def combine(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     return deliveries.join(matches.withColumnRenamed("id", "match_id"), "match_id")
 
 
+def of_season(deliveries: DataFrame, matches: DataFrame, season: int) -> tuple[DataFrame, DataFrame]:
+    """The balls of one season, if that can be told before they are added up, and its matches.
+
+    The filter on the season reaches the scan of the matches, and a semi-join with their ids drops the other
+    balls before anything is grouped. Ids above Spark's broadcast limit would make it move all balls instead; the balls then stay as
+    they are, and the matches, joined after the first grouping, drop what is left.
+    """
+    games = matches.where(F.col("season") == season)
+    ids = games.select(F.col("id").alias("match_id"))
+    if not counts_small(ids, ID_BYTES):
+        return deliveries, games
+    return deliveries.join(F.broadcast(ids), "match_id", "left_semi"), games
+
+
 def attach_season(totals: DataFrame, matches: DataFrame) -> DataFrame:
     """Season for rows already added up within a match."""
     seasons = matches.select(F.col("id").alias("match_id"), "season")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wicketworks.functions import null_safe_join, rows, stage_of
 from wicketworks.operators import batting, bowling
-from wicketworks.operators.combine import attach_season
+from wicketworks.operators.combine import attach_season, of_season
 from wicketworks.schema import (
     BALLS_PER_OVER,
     BATTING_MART,
@@ -35,18 +35,36 @@ def bowling_mart(
     *,
     max_excluded_overs: float = MAX_EXCLUDED_OVERS,
     kinds: Sequence[str] = CREDITED_DISMISSALS,
+    season: int | None = None,
 ) -> DataFrame:
     """Bowling per player, inning, season and stage, of the bowlers above the volume threshold.
 
-    One scan. The threshold is tested on the finished totals, where a bowler-season has one row
-    per inning and stage.
+    With ``season`` the mart of that season only, from its balls only.
     """
+    totals = bowling_totals(deliveries, matches, max_excluded_overs=max_excluded_overs, kinds=kinds, season=season)
+    return bowling.finish_bowling(totals, BOWLING_KEYS).select(*BOWLING_MART.names)
+
+
+def bowling_totals(
+    deliveries: DataFrame,
+    matches: DataFrame,
+    *,
+    max_excluded_overs: float = MAX_EXCLUDED_OVERS,
+    kinds: Sequence[str] = CREDITED_DISMISSALS,
+    season: int | None = None,
+) -> DataFrame:
+    """What the bowling mart, the merged measures and the union of the stages are made of.
+
+    One scan. The threshold is tested on the finished totals, where a bowler-season has one row per inning and stage.
+    """
+    if season is not None:
+        deliveries, matches = of_season(deliveries, matches, season)
     overs = bowling.over_totals(deliveries, ["bowler", "inning"], kinds)
     staged = attach_season(overs, matches).withColumn("stage", stage_of())
     totals = bowling.player_totals(bowling.match_totals(staged, BOWLING_KEYS), BOWLING_KEYS)
     counted = _with_season_balls(totals, "balls", "bowler")
     kept = counted.where(F.col("season_balls") > max_excluded_overs * BALLS_PER_OVER)
-    return bowling.finish_bowling(_in_a_stage(kept), BOWLING_KEYS).select(*BOWLING_MART.names)
+    return _in_a_stage(kept)
 
 
 def batting_mart(
@@ -55,14 +73,35 @@ def batting_mart(
     *,
     max_excluded_balls: int = MAX_EXCLUDED_BALLS_FACED,
     excluded: DataFrame | None = None,
+    season: int | None = None,
 ) -> DataFrame:
     """Batting per player, season, inning and stage, of the batsmen above the volume threshold.
 
+    With ``season`` the mart of that season only, from its balls only. ``excluded`` as for ``batting_totals``.
+    """
+    totals = batting_totals(
+        deliveries, matches, max_excluded_balls=max_excluded_balls, excluded=excluded, season=season
+    )
+    return batting.finish_batting(batting.with_not_outs(totals), BATTING_KEYS).select(*BATTING_MART.names)
+
+
+def batting_totals(
+    deliveries: DataFrame,
+    matches: DataFrame,
+    *,
+    max_excluded_balls: int = MAX_EXCLUDED_BALLS_FACED,
+    excluded: DataFrame | None = None,
+    season: int | None = None,
+) -> DataFrame:
+    """What the batting mart, the merged measures and the union of the stages are made of.
+
     Two scans: one of the match and striker columns for the list of excluded strikers, one for the
     partnerships, which need that list before they are split into players. ``excluded`` may be that
     list as stored: its size is then known when the join is planned, and a small one is broadcast
     without the partnerships being moved.
     """
+    if season is not None:
+        deliveries, matches = of_season(deliveries, matches, season)
     staged = deliveries.withColumn("stage", stage_of())
     partnerships = attach_season(batting.partnership_totals(staged, ["inning", "stage"]), matches)
     if excluded is None:
@@ -76,8 +115,7 @@ def batting_mart(
     faced = F.col("season_balls")
     # Who never faced a ball is on no list of excluded strikers.
     kept = counted.where((faced == 0) | (faced > max_excluded_balls))
-    measures = batting.with_not_outs(_in_a_stage(kept))
-    return batting.finish_batting(measures, BATTING_KEYS).select(*BATTING_MART.names)
+    return _in_a_stage(kept)
 
 
 def excluded_batsmen(
