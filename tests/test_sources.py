@@ -1,15 +1,38 @@
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from balls import ball, deliveries, dicts, matches, out
 from compare import TESTDATA, spark_bag
-from wicketworks.operators.distinct import first_seen, pick_positions, values_at
 from wicketworks.checks import views
-from wicketworks.plans import batting_mart, bowling_mart, build_marts, compare_seasons, open_marts
-from wicketworks.schema import BATTING_MART, BOWLING_MART, DELIVERIES, MATCHES
-from wicketworks.sources import read_csv, read_deliveries, read_mart, read_matches, write_mart
+from wicketworks.functions import stage_of
+from wicketworks.operators.batting import partnership_totals
+from wicketworks.operators.bowling import over_totals
+from wicketworks.operators.distinct import first_seen, pick_positions, values_at
+from wicketworks.operators.ranking import metric_table, page, page_after
+from wicketworks.plans import (
+    batting_mart,
+    bowling_mart,
+    build,
+    build_marts,
+    compare_seasons,
+    leaderboard,
+    open_lattices,
+    open_marts,
+)
+from wicketworks.plans.rollup import OVER, OVER_MEASURES, PARTNERSHIP, PARTNERSHIP_MEASURES, grain, match_rollup
+from wicketworks.schema import BATTING, BATTING_MART, BOWLING, BOWLING_MART, DELIVERIES, MATCHES, STAGE_CHOICES
+from wicketworks.sources import (
+    read_csv,
+    read_deliveries,
+    read_mart,
+    read_matches,
+    reject_count,
+    rejected,
+    write_mart,
+)
 
 HEADER = (
     "venue,match_id,inning,over,batsman,non_striker,bowler,batsman_runs,extra_runs,total_runs,"
@@ -132,5 +155,124 @@ def test_job_from_csv_to_marts(spark, tmp_path):
     expected = bowling_mart(balls, games), batting_mart(balls, games)
     for stored, opened, mart in zip(built, open_marts(spark, str(tmp_path / "marts")), expected):
         assert spark_bag(stored) == spark_bag(opened) == spark_bag(mart)
+    for stored, mart, discipline in zip(open_lattices(spark, str(tmp_path / "marts")), expected, (BOWLING, BATTING)):
+        for inning in ("1", "2", "1 & 2", "other"):
+            for stage in (*STAGE_CHOICES, "Death", "other"):
+                metric = discipline.metrics[len(inning + stage) % len(discipline.metrics)]
+                ranked = leaderboard(stored, discipline, 2008, inning, stage, metric)
+                want = leaderboard(mart, discipline, 2008, inning, stage, metric)
+                assert ranked.collect() == want.collect()
+        plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "PartitionFilters: [isnotnull(season" in plan
     compared = compare_seasons(built[0], "Bowler 5", "Bowler 21")
     assert "In(bowler, [Bowler 21,Bowler 5])" in compared._jdf.queryExecution().executedPlan().toString()
+
+
+def jobs(spark, tmp_path, balls, games):
+    """Writes the inputs of a build as CSV; their paths and that of the marts."""
+    for name, table in (("balls", balls), ("games", games)):
+        table.write.mode("overwrite").option("header", True).csv(str(tmp_path / name))
+    return str(tmp_path / "balls"), str(tmp_path / "games"), str(tmp_path / "marts")
+
+
+def test_one_rollup_gives_both_first_groupings_in_one_scan(spark, conf):
+    balls = views.deliveries(spark, f"{TESTDATA}/sf0.01")
+    rollup = match_rollup(balls)
+    plan = rollup._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "Expand" in plan
+    assert spark_bag(grain(rollup, "over")) == spark_bag(over_totals(balls, ["bowler", "inning"]).select(*OVER, *OVER_MEASURES))
+    staged = balls.withColumn("stage", stage_of())
+    assert spark_bag(grain(rollup, "partnership")) == spark_bag(
+        partnership_totals(staged, ["inning", "stage"]).select(*PARTNERSHIP, *PARTNERSHIP_MEASURES)
+    )
+
+
+def test_a_missing_bowler_is_not_taken_for_a_partnership(spark):
+    balls = deliveries(spark, ball(2, bowler=None, batsman=None, over=None, batsman_runs=None))
+    rows = {r["grain"]: r for r in dicts(match_rollup(balls))}
+    assert set(rows) == {"over", "partnership"} and all(r["balls"] == 2 and r["unknown"] == 2 for r in rows.values())
+
+
+def test_a_failed_build_leaves_the_last_one(spark, tmp_path, monkeypatch):
+    seasons = {1: 2008, 2: 2009}
+    some = deliveries(spark, ball(200, batsman_runs=1))
+    paths = jobs(spark, tmp_path, some, matches(spark, seasons))
+    first = [spark_bag(m) for m in build_marts(spark, *paths)]
+    jobs(spark, tmp_path, deliveries(spark, ball(300, match_id=2)), matches(spark, seasons))
+
+    def fails(*args, **options):
+        raise RuntimeError("no space left")
+
+    with monkeypatch.context() as m:
+        m.setattr(build, "batting_totals_of", fails)
+        with pytest.raises(RuntimeError):
+            build_marts(spark, *paths)
+    m = build.write_mart
+    with monkeypatch.context() as patch:  # the new bowling is written, the new batting is not
+        patch.setattr(build, "write_mart", lambda mart, path, **o: fails() if "batting" in path else m(mart, path, **o))
+        with pytest.raises(RuntimeError):
+            build_marts(spark, *paths)
+    assert len(os.listdir(tmp_path / "marts" / "builds")) == 3
+    assert [spark_bag(mart) for mart in open_marts(spark, paths[2])] == first
+    second = [spark_bag(mart) for mart in build_marts(spark, *paths)]
+    assert second != first and [spark_bag(mart) for mart in open_marts(spark, paths[2])] == second
+
+
+def test_thresholds_of_the_job(spark, tmp_path):
+    some = deliveries(spark, ball(20, bowler="A", batsman="C"), ball(40, bowler="B", batsman="D"))
+    bowling, batting = build_marts(
+        spark, *jobs(spark, tmp_path, some, matches(spark)), max_excluded_overs=5, max_excluded_balls=10
+    )
+    assert {r["bowler"] for r in dicts(bowling)} == {"B"} and {r["batsman"] for r in dicts(batting)} >= {"C", "D"}
+
+
+@pytest.mark.parametrize("ids", [[1, 2, 1], [1, None]])
+def test_repeated_and_missing_matches_fail_the_build(spark, tmp_path, ids):
+    games = spark.createDataFrame([(i, 2008) for i in ids], MATCHES)
+    paths = jobs(spark, tmp_path, deliveries(spark, ball(160)), games)
+    with pytest.raises(Exception, match="matches.id is missing or repeated: (1|null)"):
+        build_marts(spark, *paths)
+    assert not os.path.exists(tmp_path / "marts" / "published")
+
+
+def test_values_that_cannot_be_read_are_counted_and_listed(spark, tmp_path):
+    lines = ["1,2008", "x,2009", "3,20o9", "y,z", "NA,", "6,2008,extra", "7", " ,2010", "8.5,2011"]
+    path = write(tmp_path / "m.csv", "id,season\n" + "\n".join(lines) + "\n")
+    df = read_matches(spark, path, rejects="rejects")
+    found = [(r["column"], r["text"], r["row"]["id"], r["row"]["season"]) for r in rejected(df).collect()]
+    assert sorted(found, key=str) == sorted(
+        [("id", "x", None, 2009), ("season", "20o9", 3, None), ("id", "y", None, None), ("season", "z", None, None),
+         (None, "6,2008,extra", 6, 2008), (None, "7", 7, None), ("id", "8.5", None, 2011)], key=str,
+    )
+    assert df.agg(reject_count()).first()[0] == 7 and df.count() == 9
+    assert spark_bag(df.drop("rejects")) == spark_bag(read_matches(spark, path))
+
+
+def test_too_many_rejects_fail_the_build(spark, tmp_path):
+    balls, games, marts = jobs(spark, tmp_path, deliveries(spark, ball(160)), matches(spark))
+    with open(os.path.join(games, "more.csv"), "w") as more:
+        more.write("id,season\n77,none\n78,20x8\n")
+    with pytest.raises(ValueError, match="2 values of the matches"):
+        build_marts(spark, balls, games, marts, max_rejects=1)
+    assert len(build_marts(spark, balls, games, marts, max_rejects=2)) == 2
+
+
+def test_the_page_after_a_row_is_the_next_page(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [inf, inf, 9.5, 9.5, 9.5, 3.0, 0.0, -inf, nan, nan, None, None, nan]
+    rows = [(f"P{i * 7 % 13:02}" if i != 3 else None, v, i) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "bowler string, economy double, wickets long")
+    discipline = replace(BOWLING, presets={"economy": ("economy",), "wickets": ("wickets",)})
+    for metric in ("economy", "wickets"):
+        ranked = metric_table(table, discipline, metric)
+        for size in (1, 2, 3, 5):
+            last = page(ranked, 1, size).collect()
+            number = 1
+            while last:
+                number += 1
+                after = page_after(table, discipline, metric, last[-1][metric], last[-1]["bowler"], size)
+                assert "TakeOrderedAndProject" in after._jdf.queryExecution().executedPlan().toString()
+                now = after.collect()
+                assert str(now) == str(page(ranked, number, size).collect())
+                last = now
+            assert number == -(-13 // size) + 1

@@ -19,6 +19,17 @@ def combine(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     return deliveries.join(matches.withColumnRenamed("id", "match_id"), "match_id")
 
 
+def checked_matches(matches: DataFrame) -> DataFrame:
+    """Matches as they are, in one grouping that fails on an id that is missing or occurs twice.
+
+    Each ball of a repeated match would count twice in sums and once in maidens, and that of a missing one not at all.
+    """
+    others = [c for c in matches.columns if c != "id"]
+    wrong = F.raise_error(F.concat(F.lit("matches.id is missing or repeated: "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    row = F.when((F.count(F.lit(1)) > 1) | F.col("id").isNull(), wrong).otherwise(F.first(F.struct(*others)))
+    return matches.groupBy("id").agg(row.alias("row")).select("id", "row.*")
+
+
 def of_season(deliveries: DataFrame, matches: DataFrame, season: int) -> tuple[DataFrame, DataFrame]:
     """The balls of one season, if that can be told before they are added up, and its matches.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wicketworks.operators.lattice import from_lattice
 from wicketworks.operators.ranking import metric_table, top
 from wicketworks.operators.rollup import select_inning, select_stage
 from wicketworks.schema import DEFAULT_INNING, DEFAULT_SEASON, DEFAULT_STAGE, Discipline
@@ -17,7 +18,9 @@ def selection(
     inning: str | int = DEFAULT_INNING,
     stage: str = DEFAULT_STAGE,
 ) -> DataFrame:
-    """All measures of one season for the inning and stage asked for."""
+    """All measures of one season for the inning and stage asked for, from a mart or from its lattice."""
+    if "stage_choice" in mart.columns:
+        return from_lattice(mart, discipline, season, inning, stage)
     year = mart.where(F.col("season") == int(season))
     return select_stage(select_inning(year, discipline, inning), discipline, stage)
 

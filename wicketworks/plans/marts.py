@@ -13,9 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketworks.functions import null_safe_join, rows, stage_of
+from wicketworks.functions import null_safe_join, stage_of
 from wicketworks.operators import batting, bowling
 from wicketworks.operators.combine import attach_season, of_season
+from wicketworks.operators.qualify import match_volume
 from wicketworks.schema import (
     BALLS_PER_OVER,
     BATTING_MART,
@@ -42,6 +43,11 @@ def bowling_mart(
     With ``season`` the mart of that season only, from its balls only.
     """
     totals = bowling_totals(deliveries, matches, max_excluded_overs=max_excluded_overs, kinds=kinds, season=season)
+    return finished_bowling(totals)
+
+
+def finished_bowling(totals: DataFrame) -> DataFrame:
+    """The mart of ``bowling_totals``."""
     return bowling.finish_bowling(totals, BOWLING_KEYS).select(*BOWLING_MART.names)
 
 
@@ -60,6 +66,11 @@ def bowling_totals(
     if season is not None:
         deliveries, matches = of_season(deliveries, matches, season)
     overs = bowling.over_totals(deliveries, ["bowler", "inning"], kinds)
+    return bowling_totals_of(overs, matches, max_excluded_overs)
+
+
+def bowling_totals_of(overs: DataFrame, matches: DataFrame, max_excluded_overs: float) -> DataFrame:
+    """The same from one row per bowler, inning, match and over."""
     staged = attach_season(overs, matches).withColumn("stage", stage_of())
     totals = bowling.player_totals(bowling.match_totals(staged, BOWLING_KEYS), BOWLING_KEYS)
     counted = _with_season_balls(totals, "balls", "bowler")
@@ -82,6 +93,11 @@ def batting_mart(
     totals = batting_totals(
         deliveries, matches, max_excluded_balls=max_excluded_balls, excluded=excluded, season=season
     )
+    return finished_batting(totals)
+
+
+def finished_batting(totals: DataFrame) -> DataFrame:
+    """The mart of ``batting_totals``."""
     return batting.finish_batting(batting.with_not_outs(totals), BATTING_KEYS).select(*BATTING_MART.names)
 
 
@@ -103,11 +119,18 @@ def batting_totals(
     if season is not None:
         deliveries, matches = of_season(deliveries, matches, season)
     staged = deliveries.withColumn("stage", stage_of())
-    partnerships = attach_season(batting.partnership_totals(staged, ["inning", "stage"]), matches)
+    partnerships = batting.partnership_totals(staged, ["inning", "stage"])
     if excluded is None:
         excluded = excluded_batsmen(deliveries, matches, max_excluded_balls)
+    return batting_totals_of(partnerships, matches, excluded, max_excluded_balls)
+
+
+def batting_totals_of(
+    partnerships: DataFrame, matches: DataFrame, excluded: DataFrame, max_excluded_balls: int
+) -> DataFrame:
+    """The same from one row per match, inning, stage, striker, non-striker and dismissed player."""
     flagged = null_safe_join(
-        partnerships, excluded.withColumn("excluded", F.lit(True)), ["batsman", "season"], "left"
+        attach_season(partnerships, matches), excluded.withColumn("excluded", F.lit(True)), ["batsman", "season"], "left"
     )
     roles = batting.player_roles(flagged, BATTING_KEYS, F.col("excluded").isNull())
     totals = batting.player_totals(batting.player_match_totals(roles, BATTING_KEYS), BATTING_KEYS)
@@ -122,11 +145,15 @@ def excluded_batsmen(
     deliveries: DataFrame, matches: DataFrame, max_balls: int = MAX_EXCLUDED_BALLS_FACED
 ) -> DataFrame:
     """Batsman-seasons of at most ``max_balls`` balls faced, from balls added up per match first."""
-    per_match = deliveries.groupBy("match_id", "batsman").agg(rows().alias("faced"))
+    return excluded_of(match_volume(deliveries, "batsman"), matches, max_balls)
+
+
+def excluded_of(volume: DataFrame, matches: DataFrame, max_balls: int) -> DataFrame:
+    """The same from the ``balls`` that a batsman faced, in rows of one match each."""
     return (
-        attach_season(per_match, matches)
+        attach_season(volume.select("match_id", "batsman", "balls"), matches)
         .groupBy("batsman", "season")
-        .agg(F.sum("faced").alias("faced"))
+        .agg(F.sum("balls").alias("faced"))
         .where(F.col("faced") <= max_balls)
         .select("batsman", "season")
     )

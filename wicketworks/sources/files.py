@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from wicketworks.schema import DELIVERIES, MATCHES
 
 
+#: Holds the line of a row that has more or fewer values than the header.
+_LINE = "_line"
+
+
 def _typed(field: T.StructField) -> Column:
     text = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
@@ -22,6 +26,13 @@ def _typed(field: T.StructField) -> Column:
     return number.alias(field.name)
 
 
+def _refused(field: T.StructField) -> Column:
+    """What stands in a number column and is no number; null if all is well."""
+    text = F.col(f"`{field.name}`")
+    wrong = text.isNotNull() & (F.trim(text) != "") & (text != "NA") & _typed(field).isNull()
+    return F.when(wrong, F.struct(F.lit(field.name).alias("column"), text.alias("text")))
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -29,6 +40,7 @@ def read_csv(
     *,
     multi_line: bool = False,
     row_order: str | None = None,
+    rejects: str | None = None,
 ) -> DataFrame:
     """The columns of ``schema`` from CSV files with a header, found by name.
 
@@ -37,17 +49,40 @@ def read_csv(
     ``2008.0`` or ``1e3``. All files must have
     the header of the first. ``multi_line`` allows line breaks inside quotes, at the price of one
     task per file. ``row_order`` names a column to hold the place of the row in the files.
+
+    ``rejects`` names a column to hold what could not be read, as (column, text) pairs: texts that are no numbers, and, with no
+    column, the whole line if it has more or fewer values than the header. The rows themselves stay. ``reject_count``
+    counts them in the pass that uses the table, ``rejected`` lists them.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     names = reader.csv(path).columns
     text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    if rejects:
+        # Lines are only compared with the header where all their values are parsed.
+        reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", _LINE)
+        text = text.add(_LINE, T.StringType())
     rows = reader.option("enforceSchema", False).schema(text).csv(path)
     columns = [_typed(field) for field in schema.fields]
+    if rejects:
+        line = F.when(F.col(_LINE).isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col(_LINE).alias("text")))
+        numbers = [_refused(f) for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+        columns.append(F.array_compact(F.array(line, *numbers)).alias(rejects))
     if row_order:
         columns.append(file_order().alias(row_order))
     return rows.select(*columns)
 
 
+def reject_count(column: str = "rejects") -> Column:
+    """Aggregate: how many values of a table read with ``rejects`` could not be read."""
+    return F.coalesce(F.sum(F.size(column)), F.lit(0))
+
+
+def rejected(rows: DataFrame, column: str = "rejects") -> DataFrame:
+    """One row for each value that could not be read: its column, its text, and the row that it stands in as ``row``."""
+    others = F.struct(*(c for c in rows.columns if c != column)).alias("row")
+    return rows.where(F.size(column) > 0).select(F.explode(column).alias("found"), others).select("found.*", "row")
+
+
 def file_order() -> Column:
     """Sortable place of a row in a file scan: file, block in the file, row in the block."""
     return F.struct(
