@@ -106,3 +106,12 @@ def test_shapes_agree(results):
         _, columns, rows = results[f"{name}_mart"].result()
         _, others, stacked = results[f"{name}_stage_union"].result()
         assert bag(columns, rows) == bag(others, stacked)
+
+
+def test_missing_values_show_up(results):
+    for name, player, sums in (("bowling", "bowler", "bat_runs"), ("batting", "batsman", "runs_made")):
+        mart = as_dicts(results, f"{name}_mart_missing")
+        assert {r[player] is None for r in mart} == {True, False}
+        assert {0, 1, 2} <= {r["inning"] for r in mart} and {0, 2008} <= {r["season"] for r in mart}
+        assert any(r[sums] == 0 and r["boundries" if name == "batting" else "balls"] > 0 for r in mart)
+    assert any(r["runs"] is None for r in as_dicts(results, "batsman_volume_missing"))

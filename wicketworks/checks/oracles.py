@@ -7,7 +7,7 @@ only if both are right.
 
 from __future__ import annotations
 
-from wicketworks.checks.views import sql_views
+from wicketworks.checks.views import sql_missing_views, sql_views
 
 _CREDITED = "('caught', 'bowled', 'lbw', 'caught and bowled', 'stumped', 'hit wicket')"
 _STAGE = (
@@ -143,6 +143,91 @@ mart as (
   from filled)"""
 
 
+# With values missing. A key that is missing is a key like others, a sum with a missing value is missing, and 0 in a mart, where missing
+# innings and seasons are 0 too. Joins would lose the missing keys, so the measures are stacked and grouped.
+
+_MISSING_FACTS = f"""with {sql_views()},
+{sql_missing_views()},
+combined as (select d.*, m.season from missing_deliveries d join missing_matches m on d.match_id = m.id),
+staged as (select *, {_STAGE} from combined)"""
+
+
+def _strict(column: str) -> str:
+    return f"case when count({column}) = count(*) then sum({column})::bigint end"
+
+
+def _short(player: str, rule: str) -> str:
+    return f"""short as (select {player} as player, season from combined group by all having {rule}),
+kept as (
+  select s.* from staged s
+  where not exists (select 1 from short x where x.player is not distinct from s.{player}
+    and x.season is not distinct from s.season) and stage is not null)"""
+
+
+_BOWLING_MISSING = f"""{_MISSING_FACTS},
+{_short("bowler", "count(*) / 6.0 <= 25")},
+overs as (
+  select bowler, inning, season, stage, match_id, over, count(*) as n, {_strict("total_runs")} as given
+  from kept group by all),
+hauls as (
+  select bowler, inning, season, stage, match_id, count(*) as n from kept where dismissal_kind in {_CREDITED} group by all),
+stacked as (
+  select bowler, inning, season, stage, count(*) as balls, count(*) filter (total_runs = 0) as dotballs,
+    {_strict("batsman_runs")} as bat_runs, {_strict("extra_runs")} as extra_runs, count(distinct match_id) as matches
+  from kept group by all
+  union all by name
+  select bowler, inning, season, stage, count(*) as maiden from overs where given = 0 and n > 5 group by all
+  union all by name
+  select bowler, inning, season, stage, sum(n)::bigint as wickets, count(*) filter (n > 4) as fivewicket,
+    count(*) filter (n > 3) as fourwicket
+  from hauls group by all),
+filled as (
+  select bowler, coalesce(inning, 0)::int as inning, coalesce(season, 0)::int as season, stage, max(balls) as balls,
+    coalesce(max(dotballs), 0) as dotballs, coalesce(max(maiden), 0) as maiden, coalesce(max(bat_runs), 0) as bat_runs,
+    coalesce(max(extra_runs), 0) as extra_runs, coalesce(max(wickets), 0) as wickets, max(matches) as matches,
+    coalesce(max(fivewicket), 0) as fivewicket, coalesce(max(fourwicket), 0) as fourwicket
+  from stacked s group by bowler, s.inning, s.season, stage)
+select *, {_tenth("balls / 6.0::double")} as overs,
+  case when wickets = 0 then 0 else {_tenth("bat_runs::double / wickets")} end as bow_avg,
+  {_tenth("bat_runs::double / (balls / 6.0::double)")} as economy, {_tenth("(dotballs::double / balls) * 100")} as per_dotball
+from filled"""
+
+_BATTING_MISSING = f"""{_MISSING_FACTS},
+{_short("batsman", "count(*) <= 90")},
+crease as (
+  select batsman, inning, season, stage, match_id from kept
+  union select non_striker, inning, season, stage, match_id from kept),
+scores as (
+  select batsman, inning, season, stage, match_id, {_strict("batsman_runs")} as score from kept group by all),
+stacked as (
+  select batsman, inning, season, stage, count(*) as innings_played from crease group by all
+  union all by name
+  select player_dismissed as batsman, inning, season, stage, count(*) as dismissed from kept where player_dismissed <> '' group by all
+  union all by name
+  select batsman, inning, season, stage, {_strict("batsman_runs")} as runs_made, count(*) as balls_faced,
+    count(*) filter (batsman_runs = 4) as boundries, count(*) filter (batsman_runs = 6) as sixes
+  from kept group by all
+  union all by name
+  select batsman, inning, season, stage, case when count(score) = count(*) then max(score) end as maximum_score,
+    count(*) filter (score > 99) as centuries, count(*) filter (score between 50 and 99) as half_centuries
+  from scores group by all),
+merged as (
+  select batsman, inning, season, stage, max(innings_played) as innings_played, max(dismissed) as out, max(runs_made) as runs,
+    max(balls_faced) as faced, max(maximum_score) as best, max(centuries) as hundreds, max(half_centuries) as fifties,
+    max(boundries) as fours, max(sixes) as sixers
+  from stacked group by all having max(innings_played) is not null),
+filled as (
+  select batsman, coalesce(inning, 0)::int as inning, coalesce(season, 0)::int as season, stage, coalesce(out, 0) as dismissed,
+    innings_played, coalesce(innings_played - out, 0) as not_out, coalesce(runs, 0) as runs_made, coalesce(faced, 0) as balls_faced,
+    coalesce(best, 0) as maximum_score, coalesce(hundreds, 0) as centuries, coalesce(fifties, 0) as half_centuries,
+    coalesce(fours, 0) as boundries, coalesce(sixers, 0) as sixes
+  from merged m
+  where not exists (select 1 from short x where x.player is not distinct from m.batsman and x.season is not distinct from m.season))
+select *, case when dismissed = 0 then 0 else {_tenth("runs_made::double / dismissed")} end as batting_avg,
+  case when balls_faced = 0 then 0 else {_tenth("(runs_made::double / balls_faced) * 100")} end as strike_rate
+from filled"""
+
+
 _BOWLING_KEYS = "bowler, inning, season"
 _BATTING_KEYS = "batsman, inning, season"
 _BOWLING = _bowling_tables(_STAGED, _BOWLING_KEYS + ", stage")
@@ -201,6 +286,25 @@ def _stage_step(name: str, season: int, inning: int | None, stage: str | None) -
     return f"{_inning_step(name, season, inning)},\nchosen as ({step})"
 
 
+def _lattice(name: str) -> str:
+    """All requests at once: stages as they are and added up, of each inning and of all."""
+    base, player = (_BOWLING, "bowler") if name == "bowling" else (_BATTING, "batsman")
+
+    def rollup(source: str, keys: str, whole: bool) -> str:
+        return _bowling_rollup(source, keys) if name == "bowling" else _batting_rollup(source, keys, whole)
+
+    labels = "case stage when 'Powerplay' then 'Powerplay (1-6)' when 'Middle' then 'Middle (7-15)' else 'Death (16-20)' end"
+    return f"""{base},
+staged as (
+  select * exclude (inning), inning::varchar as inning_choice from mart where inning in (1, 2)
+  union all by name
+  select *, '1 & 2' as inning_choice from ({rollup("mart", f"{player}, season, stage", True)})),
+complete as ({rollup("staged", f"{player}, season, inning_choice", False)})
+select *, {labels} as stage_choice from staged
+union all by name
+select *, 'Complete (1-20)' as stage_choice from complete"""
+
+
 def _request(name: str, season: int, inning: int | None = None, stage: str | None = None) -> str:
     return f"{_stage_step(name, season, inning, stage)}\nselect * from chosen"
 
@@ -301,6 +405,12 @@ where position in (2, 3, 5, 6, 7, 9)""",
         "batting_summary": _select(_batting_tables(_UNSTAGED, _BATTING_KEYS), "*", "mart"),
         "batting_stage_union": _select(_BATTING, "*", "mart"),
         "batting_mart": _select(_BATTING, "*", "mart"),
+        "bowling_lattice": _lattice("bowling"),
+        "batting_lattice": _lattice("batting"),
+        "batsman_volume_missing": f"""{_MISSING_FACTS}
+select batsman, season, count(*) as ballsfaced, {_strict("batsman_runs")} as runs from combined group by batsman, season""",
+        "bowling_mart_missing": _BOWLING_MISSING,
+        "batting_mart_missing": _BATTING_MISSING,
         "leaderboard_bowling_inning_1_powerplay": _board("bowling", "economy", 2009, 1, "Powerplay"),
         "leaderboard_batting_inning_2_middle": _board("batting", "strike_rate", 2009, 2, "Middle"),
         "page_2_bowling": _board("bowling", "wickets") + " limit 10 offset 10",

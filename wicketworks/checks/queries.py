@@ -16,6 +16,7 @@ from wicketworks.functions import (
 from wicketworks.operators import batting, bowling
 from wicketworks.operators.combine import combine
 from wicketworks.operators.distinct import first_seen, pick_positions, player_choices, seasons
+from wicketworks.operators.lattice import lattice
 from wicketworks.operators.qualify import (
     batsman_exclusions,
     batsman_volume,
@@ -235,6 +236,18 @@ def registered() -> dict[str, Query]:
         "batting_summary": lambda spark, sf_dir: batting.batting_summary(*_batting_facts(spark, sf_dir)),
         "batting_stage_union": _batting_stage_union,
         "batting_mart": _batting_mart,
+        "bowling_lattice": _on_mart(_bowling_mart, lattice, BOWLING),
+        "batting_lattice": _on_mart(_batting_mart, lattice, BATTING),
+        # The same with values missing in every column but the match.
+        "batsman_volume_missing": lambda spark, sf_dir: batsman_volume(
+            combine(views.missing_deliveries(spark, sf_dir), views.missing_matches(spark, sf_dir))
+        ),
+        "bowling_mart_missing": lambda spark, sf_dir: bowling_mart(
+            views.missing_deliveries(spark, sf_dir), views.missing_matches(spark, sf_dir)
+        ),
+        "batting_mart_missing": lambda spark, sf_dir: batting_mart(
+            views.missing_deliveries(spark, sf_dir), views.missing_matches(spark, sf_dir)
+        ),
         # Requests.
         **_rollups(),
         **_rankings(),

@@ -71,6 +71,26 @@ BALL_COLUMNS = {
 }
 
 
+# Rows of the fixture whose value is missing, by column. Runs are missing less often, since one makes a sum missing.
+MISSING_BALLS = {
+    "inning": "rowno % 89 = 1",
+    "over": "rowno % 83 = 2",
+    "batsman": "rowno % 79 = 3",
+    "non_striker": "rowno % 73 = 4",
+    "bowler": "rowno % 71 = 5",
+    "batsman_runs": "rowno % 1009 = 6",
+    "extra_runs": "rowno % 1013 = 7",
+    "total_runs": "rowno % 1019 = 8",
+    "dismissal_kind": "rowno % 67 = 9",
+    "player_dismissed": "rowno % 61 = 10",
+}
+MISSING_MATCHES = {"season": "id % 41 = 7"}
+
+
+def _with_missing(columns: dict[str, str], missing: dict[str, str]) -> list[str]:
+    return [f"case when {missing[c]} then null else {c} end as {c}" if c in missing else c for c in columns]
+
+
 def _aliased(columns: dict[str, str]) -> list[str]:
     return [f"{expression} as {name}" for name, expression in columns.items()]
 
@@ -90,6 +110,22 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*_aliased(MATCH_COLUMNS)).distinct()
 
 
+def missing_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ball table with values missing in every column but the match."""
+    return numbered_deliveries(spark, sf_dir).selectExpr(*_with_missing(BALL_COLUMNS, MISSING_BALLS)).drop("rowno")
+
+
+def missing_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match table with seasons missing."""
+    return matches(spark, sf_dir).selectExpr(*_with_missing(MATCH_COLUMNS, MISSING_MATCHES))
+
+
+def sql_missing_views() -> str:
+    """The tables with missing values, on top of ``sql_views``."""
+    balls, games = ", ".join(_with_missing(BALL_COLUMNS, MISSING_BALLS)), ", ".join(_with_missing(MATCH_COLUMNS, MISSING_MATCHES))
+    return f"missing_deliveries as (select {balls} from deliveries),\nmissing_matches as (select {games} from matches)"
+
+
 def sql_views() -> str:
     """The same tables as common table expressions, for DuckDB."""
     parts = ",\n  ".join(_aliased(BALL_PARTS))
