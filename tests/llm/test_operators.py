@@ -302,3 +302,32 @@ def test_pipeline(llm, docs, corpus):
             assert {r.doc_id for r in now.collect()} == {r.doc_id for r in before.collect()}
         now = llm.createDataFrame(rows, before.schema) if name != "packing" else now
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_near_duplicates_in_one_large_group(llm, monkeypatch):
+    """Copies of one text with a growing share of words changed: most are alike in signature, many are no links."""
+    from wicketworks.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 150)
+    monkeypatch.setattr(neardup, "SHINGLES", 20_000)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
+    texts = []
+    for i in range(700):
+        own = list(base)
+        for at in rng.choice(160, rng.integers(1, 9), replace=False):
+            own[at] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+    vocabulary, sets = {}, []
+    for t in texts:
+        w = t.split()
+        sets.append({vocabulary.setdefault(tuple(w[a : a + 5]), len(vocabulary)) for a in range(len(w) - 4)})
+    held = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, list(s)] = 1
+    shared, n = held @ held.T, np.array([len(s) for s in sets])
+    links = np.argwhere(100 * shared >= 80 * (n[:, None] + n - shared))
+    least = components(range(700), [(a, b) for a, b in links.tolist() if a < b])
+    assert 20 < len(set(least.values())) < 650
+    found = near_duplicates(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert {r.doc_id: r.component_id for r in found.collect()} == least

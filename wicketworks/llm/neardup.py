@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import block_pairs, components, cut, grouped, groups, sides
+from wicketworks.llm.common import components, cut, grouped, groups, sides
 
 ROWS, BANDS = 5, 36
 BINS = ROWS * BANDS
-BLOCK = 256
+BLOCK, SHINGLES = 1024, 1 << 20
 CHUNK = 1 << 20
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -134,17 +134,45 @@ def _features(k: int, with_set: bool):
     return features
 
 
+_GROUP = ["bucket", "left_block", "right_block"]
+_OTHERS = [*_GROUP, "own_block", "node", "component"]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Deals the buckets that hold more than one component to groups of two blocks, so that all their pairs meet once.
+
+    A block has about BLOCK rows and SHINGLES shingles at most, so a group has a bound in memory, and a large bucket is
+    dealt to many tasks.
+    """
+    size = rows.groupBy("bucket").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"),
+    )
+    mixed = size.where("least < most").select("bucket", "blocks")
+    return (
+        rows.join(mixed, "bucket")
+        .withColumn("own_block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int"))
+        .withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("left_block", F.least("own_block", "other_block"))
+        .withColumn("right_block", F.greatest("own_block", "other_block"))
+        .select(*_OTHERS)
+    )
+
+
+def _roots(table: pa.Table) -> np.ndarray:
+    return table["component"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
+
+
 def _likely(threshold: float, slack: float):
-    """Candidate pairs of a group: those in the first band that they share, of fitting sizes and signatures."""
+    """The rows of a group that another of it may be linked with: of another component, in no earlier band, alike in size and signature."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["bucket", "left_block", "right_block"]):
+        for table in groups(batches, _GROUP):
             band = table["bucket"][0].as_py()[0]
             sig = np.frombuffer(b"".join(table["found"].to_pylist()), np.uint16).reshape(-1, BINS)
-            n = table["n_shingles"].to_numpy()
-            component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+            n, component = table["n_shingles"].to_numpy(), _roots(table)
             left, right, same = sides(table)
-            ia, ib = [], []
+            marked = np.zeros(len(n), bool)
             for i in left:
                 js = right[right > i] if same else right
                 js = js[component[js] != component[i]]
@@ -155,14 +183,47 @@ def _likely(threshold: float, slack: float):
                 if band and len(js):
                     earlier = (sig[js, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(js), band, ROWS).all(2).any(1)
                     js = js[~earlier]
-                ia += [i] * len(js)
-                ib += js.tolist()
+                if len(js):
+                    marked[i] = marked[js] = True
+            if marked.any():
+                yield from table.select(_OTHERS).filter(pa.array(marked)).combine_chunks().to_batches()
+
+    return likely
+
+
+def _links(percent: int):
+    """Links of a group, confirmed on the full sets: as many as it takes to join what belongs together, fewer than it has rows."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, _GROUP):
+            found = table["found"].combine_chunks()
+            ends = found.offsets.to_numpy().astype(np.int64)
+            values = found.values.to_numpy()[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            n, root = np.diff(ends), _roots(table)
+            left, right, same = sides(table)
+            shingles, numbers = np.unique(values, return_inverse=True)
+            mine = np.zeros(len(shingles), np.int32)
+            ia, ib = [], []
+            for i in left:
+                js = right[right > i] if same else right
+                js = js[root[js] != root[i]]
+                if not len(js):
+                    continue
+                own = numbers[ends[i] : ends[i + 1]]
+                mine[own] = 1
+                shared = np.add.reduceat(mine[numbers], ends[:-1])[js]
+                mine[own] = 0
+                for j in js[shared * 100 >= percent * (n[i] + n[js] - shared)]:
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        ia.append(int(i))
+                        ib.append(int(j))
             if ia:
                 node = table["node"]
-                ends = [node.take(pa.array(ia)).combine_chunks(), node.take(pa.array(ib)).combine_chunks()]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(x)).combine_chunks() for x in (ia, ib)], ["a", "b"])
 
-    return likely
+    return links
 
 
 def _agreement(threshold: float, slack: float):
@@ -195,13 +256,15 @@ def near_duplicates(
     3. Star edges: in each bucket, one class chosen by a hash is compared with the others, so a bucket gives
        fewer edges than it has rows. Edges whose signatures agree are confirmed on the full sets.
     4. What a star cannot see, two classes alike that are both unlike the centre, is looked for among the
-       pairs of a bucket that are in different components so far. They are compared by signature, in
-       blocks, inside the tasks; a pair leaves the first of its common buckets only, and only if the
-       signatures are alike but for ``slack`` (over four standard deviations). These are confirmed as well.
+       pairs of a bucket that are in different components so far. They are compared inside the tasks, in blocks of
+       a bounded size: first by signature, alike but for ``slack`` (over four standard deviations), each pair in
+       the first of its common buckets. This leaves rows, not pairs. Then the full sets of these rows meet in the same
+       blocks, and each task returns links that join what it has confirmed, fewer than it has rows.
     5. Components of the confirmed links.
 
-    Full sets are built a second time for the classes that have candidates only. No cap on buckets,
-    partners or candidates.
+    Full sets are built a second time for the classes that have candidates only. No pair that is not
+    a link leaves a task in step 4, so what is stored grows with the rows of a group, not with their square. No cap on
+    buckets, partners or candidates.
 
     One row per row of the input, with ``text_id``, the text's 64-bit hash. Null or empty texts, and texts
     without words, have no shingles and link with nothing. Repeated rows are in one group. A null doc_id
@@ -238,25 +301,23 @@ def near_duplicates(
         .select("a", "b")
     )
 
-    def sets(edges: DataFrame) -> DataFrame:
-        """Full sets of the ends of ``edges``."""
-        nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    def sets(rows: DataFrame, *columns: str) -> DataFrame:
+        """Full sets of the nodes in ``columns``."""
+        nodes = rows.select(F.explode(F.array(*columns)).alias("node")).distinct()
         wanted = classes.join(nodes, "node", "left_semi").select(F.col("id").alias("of"))
         texts = base.join(wanted, F.col("id").eqNullSafe(F.col("of")), "left_semi")
         found = texts.mapInArrow(_features(k, True), features + "array<long>").select(F.col("digest").alias("node"), "found")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    linked = cut(_verified(first, sets(first), percent))
+    linked = cut(_verified(first, sets(first, "a", "b"), percent))
     placed = crowded.select("bucket", "node").join(components(linked), "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
-    spread = F.min("component") < F.max("component")
-    mixed = placed.groupBy("bucket").agg(spread.alias("mixed")).where("mixed").select("bucket")
-    dealt = block_pairs(placed.join(mixed, "bucket"), "bucket", "node", BLOCK).join(classes.drop("id"), "node")
-    dealt = grouped(dealt, ["bucket", "left_block", "right_block"])
-    second = cut(dealt.mapInArrow(_likely(percent / 100, slack), "a binary, b binary"))
-    more = _verified(second, sets(second), percent)
-
-    named = classes.select("node", "id").join(components(linked.union(more)), "node", "left")
+    dealt = _dealt(placed.join(classes.select("node", "n_shingles"), "node")).join(classes.drop("id"), "node")
+    kinds = "bucket binary, left_block int, right_block int, own_block int, node binary, component binary"
+    likely = cut(grouped(dealt, _GROUP).mapInArrow(_likely(percent / 100, slack), kinds))
+    more = grouped(likely.join(sets(likely, "node"), "node"), _GROUP).mapInArrow(_links(percent), "a binary, b binary")
+
+    named = classes.select("node", "id").join(components(linked.union(cut(more))), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
