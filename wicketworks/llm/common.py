@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Iterator
+import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark then removes the shuffle files of a query when it ends; what stored() writes does not need them any more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` from a table written to the shared folder: compressed, of known size, and without shuffle files left behind.
+
+    ``dropped`` removes it.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(folder)
+    _folders[table] = folder
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes what ``stored`` wrote for these tables. Nothing that is still to be computed may read them."""
+    for table in tables:
+        if folder := _folders.pop(table, None):
+            session = table.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -114,13 +148,13 @@ def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(own == left), np.flatnonzero(own == right), left == right
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for the nodes that have edges.
 
     Alternates large-star and small-star steps; each is one exchange, pre-aggregated, and moves one
-    row per edge. A hot node's neighbours meet only in minima, never in a list.
+    row per edge. A hot node's neighbours meet only in minima, never in a list. ``keep`` cuts the lineage of each step.
     """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -133,7 +167,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a > b")
             .distinct()
         )
-        edges = cut(small)
+        last, edges = edges, keep(small)
+        dropped(last)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import components, cut, grouped, groups, sides
+from wicketworks.llm.common import components, dropped, grouped, groups, sides, stored
 
 ROWS, BANDS = 5, 36
 BINS = ROWS * BANDS
@@ -274,9 +274,9 @@ def near_duplicates(
     id_type = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
     features = f"id {id_type}, text_id long, n_shingles long, digest binary, found "
-    signed = cut(base.mapInArrow(_features(k, False), features + "binary"))
+    signed = stored(base.mapInArrow(_features(k, False), features + "binary"))
     one = F.min(F.struct("n_shingles", "found"))
-    classes = cut(
+    classes = stored(
         signed.where("digest is not null")
         .groupBy(F.col("digest").alias("node"))
         .agg(F.min("id").alias("id"), one.alias("one"))
@@ -286,14 +286,14 @@ def near_duplicates(
     buckets = classes.select("node", F.explode(F.array(*band)).alias("bucket"))
     order = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node"))
     centres = buckets.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = cut(buckets.join(centres, "bucket").select("bucket", "node", F.col("c.node").alias("centre")))
+    crowded = stored(buckets.join(centres, "bucket").select("bucket", "node", F.col("c.node").alias("centre")))
     stars = (
         crowded.where("node != centre")
         .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
         .distinct()
     )
     light = lambda x: classes.select(F.col("node").alias(x), F.col("found").alias(f"found_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    first = cut(
+    first = stored(
         stars.join(light("a"), "a")
         .join(light("b"), "b")
         .where(F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b"))
@@ -309,15 +309,17 @@ def near_duplicates(
         found = texts.mapInArrow(_features(k, True), features + "array<long>").select(F.col("digest").alias("node"), "found")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    linked = cut(_verified(first, sets(first, "a", "b"), percent))
-    placed = crowded.select("bucket", "node").join(components(linked), "node", "left")
+    linked = stored(_verified(first, sets(first, "a", "b"), percent))
+    placed = crowded.select("bucket", "node").join(components(linked, stored), "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     dealt = _dealt(placed.join(classes.select("node", "n_shingles"), "node")).join(classes.drop("id"), "node")
     kinds = "bucket binary, left_block int, right_block int, own_block int, node binary, component binary"
-    likely = cut(grouped(dealt, _GROUP).mapInArrow(_likely(percent / 100, slack), kinds))
+    likely = stored(grouped(dealt, _GROUP).mapInArrow(_likely(percent / 100, slack), kinds))
     more = grouped(likely.join(sets(likely, "node"), "node"), _GROUP).mapInArrow(_links(percent), "a binary, b binary")
 
-    named = classes.select("node", "id").join(components(linked.union(cut(more))), "node", "left")
+    links = linked.union(stored(more))
+    dropped(crowded, first, likely)
+    named = classes.select("node", "id").join(components(links, stored), "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
