@@ -77,6 +77,33 @@ def test_tokens_of_odd_words():
         assert list(own([text])) == [struct.pack(f"<{len(ids)}I", *ids)]
 
 
+def test_other_vocabularies_are_not_taken_for_the_lower_case_one(llm, docs, corpus):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = pack(docs, path, capacity=1 << 20, end=7).collect()
+    for r, (_, text, *_) in zip(sorted(rows, key=lambda r: r.doc_id), corpus):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [7]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
+def test_remembered_words_have_a_bound_in_bytes():
+    from wicketworks.llm.packing import ENTRY, Remembered
+
+    made = []
+
+    def make(key):
+        made.append(key)
+        return key.encode()
+
+    words = Remembered(make, 40_000)
+    for i in range(3000):
+        assert words[f"w{i}"] == f"w{i}".encode() and words["often"] == b"often"
+        assert (len(words) + len(words.old)) * ENTRY < 45_000
+    assert made.count("often") == 1 and words["w1"] == b"w1" and made.count("w1") == 2
+
+
 def test_passages(docs, corpus):
     first = {}
     own = {i: units(t or "", SENTENCES, 8) for i, t, *_ in corpus}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,7 +17,10 @@ from pyspark.sql import functions as F
 
 from wicketworks.llm.common import ceil_div, cut
 
-WORDS_HELD = 1_000_000
+#: Bytes that a worker keeps of coded words, and of coded pieces of words.
+WORD_BYTES, PIECE_BYTES = 96 << 20, 48 << 20
+#: What a dictionary takes for an entry besides the key and the value, about.
+ENTRY = 100
 SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,46 +57,79 @@ def _merges(vocabulary: dict[str, int]):
     return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
 
+class Remembered(dict):
+    """Values by key, made where they are missing, in two generations of half of ``most`` bytes each.
+
+    A full generation becomes the old one, and what is asked for again moves on to the new one; the rest goes.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.half, self.held, self.old = make, most // 2, 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if self.held >= self.half:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.held += getsizeof(key) + getsizeof(value) + ENTRY
+        return value
+
+
+#: How a vocabulary file must cut texts for words to be coded one by one. Fixed values.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _codes_words(path: str) -> bool:
+    """Whether a vocabulary lower-cases texts, parts them at blanks and line ends, and marks the ends of words."""
+    with open(path, encoding="utf-8") as file:
+        form = json.load(file)
+    steps = (form.get("normalizer") or {}).get("normalizers") or []
+    cuts = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        [s.get("type") for s in steps] == _NORMALIZERS
+        and (cuts[0].get("pattern") or {}).get("Regex") == _SPLIT
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and form["model"].get("type") == "BPE"
+        and form["model"].get("end_of_word_suffix") == "</w>"
+        and not form["model"].get("dropout")
+    )
+
+
 class WordEncoder:
-    """Token ids of texts as little-endian 32-bit words, for the lower-case vocabulary with word ends.
+    """Token ids of texts as little-endian 32-bit words.
 
-    It never joins what blanks and line ends part, so words are encoded once and remembered, up to a bounded
-    number. Common words take a fast merge of the same vocabulary; words with other characters, or with marks of
-    special tokens, go through the tokenizer itself.
+    The lower-case vocabulary with word ends never joins what blanks and line ends part, so there words are encoded once
+    and remembered, up to a bounded number of bytes. Common words take a fast merge of the same vocabulary;
+    words with other characters, or with marks of special tokens, go through the tokenizer itself. So does every
+    whole text under any other vocabulary.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = _merges(self.tokenizer.get_vocab())
-        self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.merges = _merges(self.tokenizer.get_vocab()) if _codes_words(path) else None
+        self.known = Remembered(self.word, WORD_BYTES)
+        self.pieces = Remembered(lambda piece: _bytes(self.merges.encode_ordinary(piece + " ")), PIECE_BYTES)
 
     def word(self, word: str) -> bytes:
+        if not word:
+            return b""
         if not _plain.fullmatch(word) or "<|" in word:
             return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        out = []
-        for piece in _piece.findall(word.lower()):
-            if (coded := self.pieces.get(piece)) is None:
-                coded = self.pieces[piece] = _bytes(self.merges.encode_ordinary(piece + " "))
-            out.append(coded)
-        return b"".join(out)
+        return b"".join([self.pieces[piece] for piece in _piece.findall(word.lower())])
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for text in texts:
-            parts = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join([known[w] for w in parts])
-            except KeyError:
-                if len(known) > WORDS_HELD:
-                    known.clear()
-                    self.pieces.clear()
-                for w in parts:
-                    if w not in known:
-                        known[w] = self.word(w)
-                yield b"".join([known[w] for w in parts])
+            if self.merges:
+                yield b"".join([known[w] for w in text.replace("\n", " ").split(" ")])
+            else:
+                yield _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -119,6 +157,7 @@ def _pieces(path: str, end: int, capacity: int, schema: pa.Schema):
                         col.append(value)
             ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return pieces
 
