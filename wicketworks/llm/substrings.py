@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketworks.llm.anchors import Ranges, anchors, mix
-from wicketworks.llm.common import cut, grouped
+from wicketworks.llm.common import dropped, grouped, stored
 
 RUN = 1 << 20
 COLLECTION = 8192
@@ -247,9 +247,11 @@ def dedup_substrings(
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_id"), F.col(text).alias("text"))
     place = ["id", "text_id"]
     every = base.mapInArrow(_anchored(length, gram), f"id {kind}, text_id long, gram long, context long, at long")
-    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    occurrences = cut(every.join(often, "gram"))
-    alike = cut(
+    # Stored first, so that the join is one of two plain exchanges, in which Spark splits a hot gram.
+    often = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    occurrences = stored(every.join(often, "gram"))
+    dropped(often)
+    alike = stored(
         occurrences.groupBy("gram", "context")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place, "at")).alias("one"))
         .select("gram", "context", "n", "one.*")
@@ -265,7 +267,7 @@ def dedup_substrings(
         f"id {kind}, text_id long, at long, weight long, group long, left long, bytes binary, lo long, hi long, "
         "part long, whole long, strings array<long>",
     )
-    settled = cut(
+    settled = stored(
         grouped(around, ["group"]).mapInArrow(
             _sorted_groups(length, gram),
             f"id {kind}, text_id long, lo long, hi long, weight long, part long, whole long, strings array<long>",
