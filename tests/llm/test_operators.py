@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wicketworks.llm.embeddings import near_vectors
@@ -181,7 +182,7 @@ def test_surrogates(llm):
         8: "ann.b@mail.example.com",
     }
     df = llm.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = {r.row.doc_id: r for r in replace_pii(df).collect()}
+    rows = {r.row.doc_id: r for r in replace_pii(df, "key").collect()}
     assert {i: r.types for i, r in rows.items()} == {
         1: ["email", "email", "phone"], 2: ["card", "ip", "card"], 3: ["secret", "key", "secret"],
         4: ["name", "name", "name", "name"], 5: [], 6: [], 7: [], 8: ["email"],
@@ -197,9 +198,68 @@ def test_surrogates(llm):
     assert re.fullmatch(r'token = "[0-9a-f]{40}" AKIA[0-9A-Z]{16} password=[a-z]{6}\d[a-z]{6}\d', rows[3].replaced)
     names = re.fullmatch(r"(Frau \w+) met Mr\. (\w+ \w+) and (г-жа [А-Я]\w+); (Frau \w+) left\.", rows[4].replaced)
     assert names and names[1] == names[4] != "Frau Meier" and names[2] != "John Smith" and names[3] != "г-жа Иванова"
-    assert rows[1].replaced == {r.row.doc_id: r for r in replace_pii(df).collect()}[1].replaced
-    assert "Python" not in replace_pii(df)._jdf.queryExecution().executedPlan().toString()
-    assert replace_pii(df.where("doc_id < 0")).count() == 0
+    assert rows[1].replaced == {r.row.doc_id: r for r in replace_pii(df, "key").collect()}[1].replaced
+    assert "Python" not in replace_pii(df, "key")._jdf.queryExecution().executedPlan().toString()
+    assert replace_pii(df.where("doc_id < 0"), "key").count() == 0
+
+
+def test_long_runs_of_each_kind_of_character(llm):
+    """1 MB each of what the patterns repeat; Java's stack must not grow with it."""
+    n = 1 << 20
+    units = ["a", "a.", "a-", "%", "1", "1.", "1 ", "1-", "A1", "AB12 ", "Mr ", "Aa", "(", "+1 ", "token=", "a@", "a@a.", "Mr. Aa "]
+    texts = [(u * n)[:n] for u in units] + ["x@" + "a." * (n // 2), "x@" + "a" * n + ".com", "x@a" + ".a" * 100 + ".com. " + "Z" * n]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r.row.doc_id: r for r in replace_pii(df, "key").select("row.doc_id", "row", "types", F.length("replaced").alias("n")).collect()}
+    assert len(rows) == len(texts) and rows[len(texts) - 1].types == ["email"] and not rows[0].types
+    assert set(rows[17].types) == {"name"} and len(rows[17].types) > 1000
+
+
+def test_entities_are_those_of_the_patterns(llm):
+    """Against another engine for patterns, over whole documents."""
+    import regex
+
+    from wicketworks.llm.pii import PATTERN, TYPES
+
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.row.doc_id: r for r in replace_pii(docs, "key").collect()}
+    whole, single = regex.compile(PATTERN), {k: regex.compile(p) for k, p in TYPES.items() if k != "secret"}
+    kinds, by_entity = Counter(), defaultdict(set)
+    for r in docs.collect():
+        mentions = [m.group() for m in whole.finditer(r.text or "")]
+        own = [next((k for k, p in single.items() if p.fullmatch(m)), "secret") for m in mentions]
+        assert found[r.doc_id].types == own
+        kinds.update(own)
+        rest, new = whole.split(r.text or ""), found[r.doc_id].replaced or ""
+        pattern = "(.+?)".join(map(regex.escape, rest))
+        for kind, mention, other in zip(own, mentions, regex.fullmatch(pattern, new, regex.S).groups()):
+            by_entity[kind, mention].add(other)
+            assert mention != other and len(regex.findall(r"[ ().-]", mention)) <= len(regex.findall(r"[ ().-]", other)) + 9
+    assert len(kinds) >= 4 and kinds.total() > 50
+    assert all(len(new) == 1 for new in by_entity.values())  # one surrogate for each entity, in all texts
+    assert len({(k, *new) for (k, _), new in by_entity.items()}) > 0.9 * len(by_entity)
+
+
+def test_surrogates_that_clash_are_drawn_anew(llm, monkeypatch):
+    from wicketworks.llm import pii
+
+    texts = [f"{i:03}-22-3333 (604) 555-{i:04}" for i in range(30)] + ["604.555.0003 604-555-0003"]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drawn = pii.surrogate
+
+    def clashing(kind, mention, who, attempt, key):
+        same = F.when(kind == "ssn", "999-99-9999").otherwise("604 555 0007")  # one for all, and a real one in other marks
+        return F.when(attempt < 2, same).otherwise(drawn(kind, mention, who, attempt, key))
+
+    monkeypatch.setattr(pii, "surrogate", clashing)
+    rows = {r.row.doc_id: r.replaced for r in replace_pii(df, "key").collect()}
+    numbers = [re.fullmatch(r"(\d{3}-\d\d-\d{4}) (?:\((\d{3})\) (\d{3})-(\d{4}))", rows[i]).groups() for i in range(30)]
+    assert len({a for a, *_ in numbers}) == len({tuple(b) for _, *b in numbers}) == 30
+    assert not {"".join(b) for _, *b in numbers} & {f"604555{i:04}" for i in range(30)}
+    assert re.sub(r"\D", "", rows[30]) == "".join(numbers[3][1:]) * 2
+    monkeypatch.setattr(pii, "surrogate", lambda kind, mention, who, attempt, key: F.lit("999-99-9999"))
+    monkeypatch.setattr(pii, "MOST", 2)
+    with pytest.raises(ValueError, match="fewer surrogates than entities: phone, ssn"):
+        replace_pii(df, "key")
 
 
 def test_vectors(llm):

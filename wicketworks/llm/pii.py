@@ -25,8 +25,9 @@ NAMES = {
 _initials = "".join(sorted({title[0] for title in FEMALE + MALE}))
 #: What an entity of each type looks like. The first that matches at a place counts. Each starts with
 #: a test of one character, as most places of a text are inside words; \G is where the last mention ended.
+#: Groups repeat a bounded number of times (a domain has 126 labels at most), since Java's stack grows with each.
 TYPES = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "secret": r"(?<=[=:\s\"'])(?<=\b(?:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'=:,;]{8,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -39,6 +40,8 @@ TYPES = {
 #: After a letter only what starts with a digit, + or ( can start, or what follows the last mention.
 PATTERN = r"(?:(?<![A-Za-z])|(?=[0-9+(])|\G)(?:" + "|".join(f"(?:{p})" for p in TYPES.values()) + ")"
 HEX = "0123456789abcdef"
+#: Attempts after which addresses are drawn from all there are, and after which a type has no surrogates left.
+WIDER, MOST = 4, 200
 
 
 def entity_type(mention: Column) -> Column:
@@ -108,7 +111,8 @@ def surrogate(kind: Column, mention: Column, who: Column, attempt: Column, key:
     tld = F.regexp_extract(domain, r"\.[A-Za-z]+$", 0)
     email = F.concat(swapped(F.regexp_extract(mention, "^[^@]+", 0)), F.lit("@"), F.lit("mail-"), F.substring(letters, 40, 6), F.lit(".example"), tld)
     octet = lambda n: F.conv(F.substring(digest, 2 * n + 1, 2), 16, 10)
-    ip = F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
+    # Private addresses, as long as they last.
+    ip = F.concat_ws(".", F.when(attempt < WIDER, "10").otherwise(octet(0)), octet(1), octet(2), octet(3))
     number = numbered(mention, "^[0-9]")
     card = F.when(luhn(mention), with_luhn(number)).otherwise(number)
     title = F.regexp_extract(mention, r"^(\S+\s)", 1)
@@ -120,10 +124,11 @@ def surrogate(kind: Column, mention: Column, who: Column, attempt: Column, key:
     given, family = names[F.concat_ws(" ", gender, script)], names[F.concat_ws(" ", F.lit("family"), script)]
     pick = lambda list_, n: F.element_at(list_, F.pmod(n, F.size(list_)).cast("int") + 1)
     endings = {"Cyrillic": "бвгджзклмнпрстфх", "Greek": "βγδζθκλμνξπρστφχ"}
-    suffix = F.substring(letters, 30, 5)
+    # The lists alone would run out; with five letters more, and another for each attempt, there is a name for every entity.
+    more = F.least(attempt + 5, F.lit(30))
+    suffix = F.substring(letters, F.lit(30), more)
     for other, consonants in endings.items():
-        suffix = F.when(script == other, F.translate(F.substring(digest, 30, 5), HEX, consonants)).otherwise(suffix)
-    # The lists alone would run out; with five letters more there is a name for every entity.
+        suffix = F.when(script == other, F.translate(F.substring(digest, F.lit(30), more), HEX, consonants)).otherwise(suffix)
     invented = F.concat(pick(family, F.floor(turn / 16)), suffix)
     two = mention.rlike(r"^\S+\s\S+\s\S+$")
     name = F.concat(title, F.when(two, F.concat(pick(given, turn), F.lit(" "), invented)).otherwise(invented))
@@ -156,15 +161,18 @@ def with_luhn(number: Column) -> Column:
     return F.concat(head, F.pmod(-_luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogates", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, replaced, types): texts with personal data and secrets replaced by surrogates.
 
     Mentions of one entity get the same surrogate in all texts, each in its own format; entities differ in
     their surrogates. A surrogate is a keyed hash of type, entity and attempt, shaped like the mention: digits
     by digits, letters by letters of their case, valid octets, a card number with a good check digit if it had one,
     names of the title's gender in the script they are written in. All entities' surrogates are compared with
-    each other and with the entities that occur; those that clash, but for the first, are drawn anew, until none
-    does. ``types`` lists the types found, in order.
+    each other and with the entities that occur, as entities, so that no two differ in marks or case only; those that clash, but
+    for the first, are drawn anew, until none does. Names get longer and addresses less private with each attempt; a type with
+    more entities than its format has surrogates ends in an error. ``types`` lists the types found, in order.
+
+    ``key`` is a secret of the caller: with it, and with the entities, surrogates can be told again.
 
     Only entities, not texts, are grouped and joined; a hot entity is one row there. The text meets its own
     surrogates once. DataFrame functions only.
@@ -184,16 +192,19 @@ def replace_pii(docs: DataFrame, key: str = "surrogates", doc_id: str = "doc_id"
     )
     mentions = cut(mentions)
     known = mentions.groupBy("kind", "who").agg(F.min("mention").alias("form")).withColumn("attempt", F.lit(0))
-    real = mentions.select("kind", F.col("mention").alias("new")).distinct().withColumn("is_real", F.lit(True))
+    real = mentions.select("kind", F.col("who").alias("new_who")).distinct().withColumn("is_real", F.lit(True))
     parts = F.col("kind"), F.col("form"), F.col("who"), F.col("attempt")
-    turn = Window.partitionBy("kind", "new").orderBy("who")
-    while True:
-        drawn = known.withColumn("new", surrogate(*parts, key))
-        drawn = drawn.join(real, ["kind", "new"], "left")
+    turn = Window.partitionBy("kind", "new_who").orderBy("who")
+    for attempt in range(MOST + 1):
+        drawn = known.withColumn("new_who", entity(F.col("kind"), surrogate(*parts, key)))
+        drawn = drawn.join(real, ["kind", "new_who"], "left")
         drawn = cut(drawn.withColumn("clash", (F.row_number().over(turn) > 1) | F.coalesce("is_real", F.lit(False))))
         known = drawn.select("kind", "who", "form", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-        if drawn.where("clash").isEmpty():
+        left = drawn.where("clash").groupBy("kind").count().collect()
+        if not left:
             break
+        if attempt == MOST:
+            raise ValueError(f"types with fewer surrogates than entities: {', '.join(sorted(r['kind'] for r in left))}")
     new = surrogate(F.col("kind"), F.col("mention"), F.col("who"), F.col("attempt"), key)
     replacements = (
         mentions.join(known, ["kind", "who"])
