@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import WORD, cut
+from wicketworks.llm.common import WORD, cut, stored
 
 DRAW_BITS, BUCKET_BITS = 52, 12
 
@@ -108,7 +108,8 @@ def mix_sources(
     end = F.when(F.col("best.missing") < F.abs(F.col("before") - F.col("extra")), F.col("best.draw"))
     ends = last.join(best, "key").select("key", end.otherwise(F.shiftleft("bucket", shift) - 1).alias("end"))
     end = F.when(F.col("extra") > 0, F.coalesce("end", F.lit((1 << DRAW_BITS) - 1))).otherwise(F.lit(-1))
-    decided = plan.join(ends, "key", "left").withColumn("end", end)
+    # Stored, so that Spark knows how small it is: the texts then need not be moved to one task for each source.
+    decided = stored(plan.join(ends, "key", "left").withColumn("end", end))
     copies = F.col("whole") + F.when(F.col("draw") <= F.col("end"), 1).otherwise(0)
     return (
         sized.join(decided, "key")
