@@ -10,17 +10,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketworks.llm.common import ceil_div, cut
+from wicketworks.llm.common import ceil_div, cut, partitions
 
 BITS, SEGMENTS = 64, 4
 WIDTH = BITS // SEGMENTS
 
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
-    """A 64-bit code of a vector: bit i is set where component i is above zero. Null without a vector."""
+    """A 64-bit code of a vector: bit i is set where component i is above zero. Null without a vector.
+
+    A vector of more components is an error: its code would leave some out, so it has to be projected first.
+    """
     bit = lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))
     flags = F.transform(F.slice(F.col(vector), 1, bits), bit)
-    return F.aggregate(flags, F.expr("0L"), lambda code, flag: F.shiftleft(code, 1).bitwiseOR(flag))
+    code = F.aggregate(flags, F.expr("0L"), lambda code, flag: F.shiftleft(code, 1).bitwiseOR(flag))
+    longer = F.raise_error(F.concat(F.lit(f"a code has {bits} bits; the vector's length is "), F.size(vector).cast("string")))
+    return F.when(F.size(vector) > bits, longer).otherwise(code)
 
 
 @lru_cache(WIDTH + 1)
@@ -104,6 +109,8 @@ def top_k(
             out.append(np.stack([np.full(len(rows), own), np.full(len(rows), code), ids[rows], distances], 1))
         return pd.DataFrame(np.concatenate(out), columns=columns)
 
+    # Few bytes, much work: partitions of a stated number are not merged by their size.
+    dealt, asked = (x.repartition(partitions(x), "shard", "block") for x in (dealt, asked.withColumn("block", F.col("block").cast("int"))))
     pairs = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
     near = pairs.applyInPandas(search, ", ".join(f"{c} long" for c in columns))
     order = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
