@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wicketworks.llm.embeddings import near_vectors
-from wicketworks.llm.language import code_lengths, fit, identify_language
+from wicketworks.llm.language import code_lengths, fit, identify_language, sample
 from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
 from wicketworks.llm.neardup import keep_one, near_duplicates
 from wicketworks.llm.packing import best_fit, pack, public_tokenizer
 from wicketworks.llm.passages import dedup_passages, units, SENTENCES
 from wicketworks.llm.pii import replace_pii
-from wicketworks.llm.search import top_k
+from wicketworks.llm.search import sign_code, top_k
 from wicketworks.llm.substrings import dedup_substrings, repeated_columns
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -342,6 +342,12 @@ def test_code_lengths_are_those_of_the_trees():
     assert p.sum(1) == pytest.approx(1, abs=1e-4)
 
 
+def test_repeated_texts_are_learned_from_once(llm):
+    rows = [("en", "the same text again")] * 500 + [("en", f"word {i}") for i in range(5)] + [("de", "Wörter")]
+    found = sample(llm.createDataFrame(rows, "lang string, text string"), 10_000, 1 << 14)
+    assert len(found["en"]) == 6 and found["de"] == ["Wörter".encode()]
+
+
 def test_languages(llm):
     docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = llm.createDataFrame([(-1, None, "en"), (-2, "", None), (-3, "123 !", "fr")], docs.schema)
@@ -366,6 +372,10 @@ def test_top_k(llm):
     for i, c in codes[::10]:
         assert got[i] == sorted(((c ^ d) & (2**64 - 1)).bit_count() and (((c ^ d) & (2**64 - 1)).bit_count(), j) or (0, j) for j, d in codes if j != i)[:7]
     assert top_k(df.where("id < 0"), df).count() == 0 and len(got) == len(codes[::10])
+    vectors = llm.createDataFrame([([0.5, -1.0] * 32,), (None,), ([1.0] * 65,)], "v array<double>")
+    assert [r.code for r in vectors.limit(2).select(sign_code("v").alias("code")).collect()] == [-6148914691236517206, None]
+    with pytest.raises(Exception, match="length is 65"):
+        vectors.select(sign_code("v")).collect()
 
 
 def test_pipeline(llm, docs, corpus):

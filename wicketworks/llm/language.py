@@ -136,7 +136,8 @@ def sample(labelled: DataFrame, per_language: int, max_bytes: int) -> dict[str,
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(steps, int(steps * per_language / n) + 1)))])
     taken = usable.where(F.pmod(F.xxhash64("text", F.lit(5)), steps) < share[F.col("lang")])
     texts: dict[str, list[bytes]] = {}
-    for row in sorted(taken.select("lang", "text").collect()):
+    # A text that repeats a million times is taken once.
+    for row in sorted(taken.select("lang", "text").dropDuplicates().collect()):
         texts.setdefault(row["lang"], []).append(row["text"].encode())
     return texts
 
