@@ -372,10 +372,10 @@ def test_top_k(llm):
     for i, c in codes[::10]:
         assert got[i] == sorted(((c ^ d) & (2**64 - 1)).bit_count() and (((c ^ d) & (2**64 - 1)).bit_count(), j) or (0, j) for j, d in codes if j != i)[:7]
     assert top_k(df.where("id < 0"), df).count() == 0 and len(got) == len(codes[::10])
-    vectors = llm.createDataFrame([([0.5, -1.0] * 32,), (None,), ([1.0] * 65,)], "v array<double>")
-    assert [r.code for r in vectors.limit(2).select(sign_code("v").alias("code")).collect()] == [-6148914691236517206, None]
+    codes_of = lambda *vectors: llm.createDataFrame([(v,) for v in vectors], "v array<double>").select(sign_code("v").alias("code")).collect()
+    assert [r.code for r in codes_of([0.5, -1.0] * 32, None, [1.0, 0.0])] == [-6148914691236517206, None, 2]
     with pytest.raises(Exception, match="length is 65"):
-        vectors.select(sign_code("v")).collect()
+        codes_of([1.0] * 65)
 
 
 def test_pipeline(llm, docs, corpus):
