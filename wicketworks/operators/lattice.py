@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicketworks.functions import round_numeric
@@ -24,19 +24,31 @@ _LABELS = {name: choice for choice, name in STAGE_CHOICES.items() if name}
 def lattice(mart: DataFrame, discipline: Discipline) -> DataFrame:
     """Each player's measures for every season, inning choice and stage choice.
 
-    Innings other than 1 and 2 count in the roll-up of all innings, as they have no choice of their own. ``stage`` stays,
-    null where stages are rolled up; measures of one inning only are null there, too.
+    The mart is read once: each row goes to the choices that it counts for, first those of innings, then those of
+    stages, and is grouped there. What a choice shows of one row of the mart is that row, with its own ratios; what it adds up
+    gets them anew. Innings other than 1 and 2 count in the roll-up of all innings, as they have no choice of their own.
+    ``stage`` stays, null where stages are rolled up; measures of one inning only are null there, too.
     """
-    player = discipline.player
-    innings = {str(number): choice for choice, number in INNING_CHOICES.items() if number is not None}
-    one = mart.where(F.col("inning").isin(*(int(n) for n in innings))).withColumn("inning_choice", F.col("inning").cast("string")).drop("inning")
-    every = round_numeric(roll_up(mart, discipline, [player, "season", "stage"])).withColumn("inning_choice", F.lit(DEFAULT_INNING))
-    staged = one.unionByName(every)
-    complete = round_numeric(roll_up(staged, discipline, [player, "season", "inning_choice"], discipline.inning_only))
-    labels = reduce(lambda rest, s: F.when(F.col("stage") == s, _LABELS[s]).otherwise(rest), _LABELS, F.lit(None).cast("string"))
-    return staged.withColumn("stage_choice", labels).unionByName(
-        complete.withColumn("stage_choice", F.lit(DEFAULT_STAGE)), allowMissingColumns=True
-    ).select(player, *LATTICE_KEYS, "stage", *discipline.measures, *(r.name for r in discipline.ratios))
+    player, ratios = discipline.player, [r.name for r in discipline.ratios]
+    innings = [str(number) for number in INNING_CHOICES.values() if number is not None]
+    own_inning = F.col("inning").cast("string")
+    by_inning = _grouped(mart, discipline, [player, "season", "stage"], "inning_choice", F.when(own_inning.isin(*innings), own_inning), DEFAULT_INNING)
+    label = reduce(lambda rest, s: F.when(F.col("stage") == s, _LABELS[s]).otherwise(rest), _LABELS, F.lit(None).cast("string"))
+    whole = F.col("stage_choice") == DEFAULT_STAGE
+    found = _grouped(by_inning, discipline, [player, "season", "inning_choice"], "stage_choice", label, DEFAULT_STAGE)
+    stage = reduce(lambda rest, s: F.when(F.col("stage_choice") == _LABELS[s], s).otherwise(rest), _LABELS, F.lit(None).cast("string"))
+    found = found.withColumns({m: F.when(~whole, F.col(m)) for m in discipline.inning_only}).withColumn("stage", stage)
+    return found.select(player, *LATTICE_KEYS, "stage", *discipline.measures, *ratios)
+
+
+def _grouped(table: DataFrame, discipline: Discipline, keys: list[str], name: str, own: Column, every: str) -> DataFrame:
+    """Rows as they are under their own choice, if they have one, and added up under the choice ``every``."""
+    ratios = [r.name for r in discipline.ratios]
+    spread = table.withColumn(name, F.explode(F.array_compact(F.array(own, F.lit(every)))))
+    as_is = [F.first(r).alias(f"own_{r}") for r in ratios]
+    rolled = round_numeric(roll_up(spread, discipline, [*keys, name], (), *as_is))
+    kept = {r: F.when(F.col(name) == every, F.col(r)).otherwise(F.col(f"own_{r}")) for r in ratios}
+    return rolled.withColumns(kept).drop(*(f"own_{r}" for r in ratios))
 
 
 def from_lattice(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicketworks.functions import ieee_ratio, round_numeric, tenths_sum
@@ -19,9 +19,9 @@ from wicketworks.schema import (
 
 
 def roll_up(
-    table: DataFrame, discipline: Discipline, keys: Sequence[str], without: Sequence[str] = ()
+    table: DataFrame, discipline: Discipline, keys: Sequence[str], without: Sequence[str] = (), *more: Column
 ) -> DataFrame:
-    """Add the measures up per key and compute the ratios anew, not rounded.
+    """Add the measures up per key and compute the ratios anew, not rounded. ``more`` are aggregates beside them.
 
     Ratios without a denominator stay infinite or NaN.
     """
@@ -34,7 +34,7 @@ def roll_up(
         return F.sum(name).alias(name)
 
     kept = [m for m in discipline.measures if m not in without]
-    totals = table.groupBy(*keys).agg(*(total(m) for m in kept))
+    totals = table.groupBy(*keys).agg(*(total(m) for m in kept), *more)
     return totals.withColumns(
         {r.name: ieee_ratio(F.col(r.top), F.col(r.bottom)) * r.times for r in discipline.ratios}
     )
