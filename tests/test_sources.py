@@ -11,6 +11,7 @@ from wicketworks.functions import stage_of
 from wicketworks.operators.batting import partnership_totals
 from wicketworks.operators.bowling import over_totals
 from wicketworks.operators.distinct import first_seen, pick_positions, values_at
+from wicketworks.operators.lattice import lattice
 from wicketworks.operators.ranking import metric_table, page, page_after
 from wicketworks.plans import (
     batting_mart,
@@ -164,6 +165,8 @@ def test_job_from_csv_to_marts(spark, tmp_path):
                 assert ranked.collect() == want.collect()
         plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "PartitionFilters: [isnotnull(season" in plan
+        assert "IsNotNull(stage_choice)" in plan and "IsNotNull(inning_choice)" in plan
+        assert stored.dtypes == lattice(mart, discipline).dtypes
     compared = compare_seasons(built[0], "Bowler 5", "Bowler 21")
     assert "In(bowler, [Bowler 21,Bowler 5])" in compared._jdf.queryExecution().executedPlan().toString()
 

@@ -11,12 +11,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wicketworks.functions import round_numeric
 from wicketworks.operators.rollup import roll_up
 from wicketworks.schema import DEFAULT_INNING, DEFAULT_STAGE, INNING_CHOICES, STAGE_CHOICES, Discipline
 
-#: Folders of a stored lattice, outermost first.
+#: What a request names. A stored lattice is partitioned by the first and sorted by the others.
 LATTICE_KEYS = ("season", "inning_choice", "stage_choice")
 _LABELS = {name: choice for choice, name in STAGE_CHOICES.items() if name}
 
@@ -41,6 +42,13 @@ def lattice(mart: DataFrame, discipline: Discipline) -> DataFrame:
     return found.select(player, *LATTICE_KEYS, "stage", *discipline.measures, *ratios)
 
 
+def lattice_schema(mart: T.StructType, discipline: Discipline) -> T.StructType:
+    """Columns and types of the lattice of a mart with these columns."""
+    names = [discipline.player, *LATTICE_KEYS, "stage", *discipline.measures, *(r.name for r in discipline.ratios)]
+    known = {field.name: field.dataType for field in mart.fields}
+    return T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in names])
+
+
 def _grouped(table: DataFrame, discipline: Discipline, keys: list[str], name: str, own: Column, every: str) -> DataFrame:
     """Rows as they are under their own choice, if they have one, and added up under the choice ``every``."""
     ratios = [r.name for r in discipline.ratios]
@@ -54,7 +62,7 @@ def _grouped(table: DataFrame, discipline: Discipline, keys: list[str], name: st
 def from_lattice(
     stored: DataFrame, discipline: Discipline, season: int | str, inning: str | int = DEFAULT_INNING, stage: str = DEFAULT_STAGE
 ) -> DataFrame:
-    """The rows of a request. On a stored lattice this reads one folder, and nothing is grouped."""
+    """The rows of a request. On a stored lattice this reads those rows of one folder, and nothing is grouped."""
     inning = str(inning) if INNING_CHOICES.get(str(inning)) is not None else DEFAULT_INNING
     stage = stage if STAGE_CHOICES.get(stage) else _LABELS.get(stage, DEFAULT_STAGE)
     chosen = stored.where(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wicketworks.operators.combine import checked_matches
-from wicketworks.operators.lattice import LATTICE_KEYS, lattice
+from wicketworks.operators.lattice import LATTICE_KEYS, lattice, lattice_schema
 from wicketworks.plans.marts import batting_totals_of, bowling_totals_of, excluded_of, finished_batting, finished_bowling
 from wicketworks.plans.rollup import grain, match_rollup, write_rollup
 from wicketworks.schema import (
@@ -79,7 +79,7 @@ def build_marts(
     for name, (mart, schema, discipline) in marts.items():
         write_mart(mart, f"{at}/{name}")
         stored = read_mart(spark, f"{at}/{name}", schema)
-        write_mart(lattice(stored, discipline), f"{at}/{name}_lattice", by=LATTICE_KEYS)
+        write_mart(lattice(stored, discipline), f"{at}/{name}_lattice", order=LATTICE_KEYS[1:])
     # Spark makes an append visible as a whole, or not at all.
     spark.createDataFrame([(time.time(), build)], PUBLISHED).coalesce(1).write.mode("append").parquet(f"{folder}/published")
     return open_marts(spark, folder)
@@ -102,6 +102,8 @@ def open_marts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def open_lattices(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The roll-ups of both marts over innings and stages, of the latest build; see ``operators.lattice``."""
-    marts = zip(("bowling", "batting"), open_marts(spark, folder), (BOWLING, BATTING))
     at = latest_build(spark, folder)
-    return tuple(read_mart(spark, f"{at}/{name}_lattice", lattice(mart, d).schema) for name, mart, d in marts)
+    return (
+        read_mart(spark, f"{at}/bowling_lattice", lattice_schema(BOWLING_MART, BOWLING)),
+        read_mart(spark, f"{at}/batting_lattice", lattice_schema(BATTING_MART, BATTING)),
+    )
