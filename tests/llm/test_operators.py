@@ -1,5 +1,6 @@
 """Operators against brute force on a small corpus with nulls, ties, repeats and a clashing column."""
 
+import hashlib
 import itertools
 import re
 import struct
@@ -17,7 +18,7 @@ from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
 from wicketworks.llm.neardup import keep_one, near_duplicates
 from wicketworks.llm.packing import best_fit, pack, public_tokenizer
-from wicketworks.llm.passages import dedup_passages, units, SENTENCES
+from wicketworks.llm.passages import LINES, PARAGRAPHS, SENTENCES, dedup_passages
 from wicketworks.llm.pii import replace_pii
 from wicketworks.llm.search import sign_code, top_k
 from wicketworks.llm.substrings import dedup_substrings, repeated_columns
@@ -105,21 +106,74 @@ def test_remembered_words_have_a_bound_in_bytes():
     assert made.count("often") == 1 and words["w1"] == b"w1" and made.count("w1") == 2
 
 
-def test_passages(docs, corpus):
-    first = {}
-    own = {i: units(t or "", SENTENCES, 8) for i, t, *_ in corpus}
+def cut_by_hand(text, ends, min_words):
+    """Units found character by character: (start, end, words)."""
+    edges = [0]
+    for i, c in enumerate(text):
+        if ends == PARAGRAPHS:
+            here = c == "\n" and i >= edges[-1]
+            blank = next((j for j in range(len(text) - 1, i, -1) if text[j] == "\n" and not text[i:j].strip()), None) if here else None
+            edges += [blank + 1] if blank else []
+        elif c == "\n" or ends == SENTENCES and c.isspace() and i and text[i - 1] in ".!?":
+            edges.append(i + 1)
+    pieces = []
+    for a, b in itertools.pairwise([*edges, len(text)]):
+        words = "".join(c if c.isalnum() or c == "_" else " " for c in text[a:b].lower()).split()
+        pieces.append((a, b, words))
+    out, run = [], []
+    for a, b, words in [*pieces, (len(text), len(text), None)]:
+        if run and (words is None or len(words) >= min_words):
+            joined = [w for *_, own in run for w in own]
+            out += [(run[0][0], run[-1][1], joined)] if len(joined) >= min_words else []
+            run = []
+        if words is not None and len(words) >= min_words:
+            out.append((a, b, words))
+        elif words is not None:
+            run.append((a, b, words))
+        if text[a:b].endswith("\n") and run:
+            joined = [w for *_, own in run for w in own]
+            out += [(run[0][0], run[-1][1], joined)] if len(joined) >= min_words else []
+            run = []
+    return out
+
+
+@pytest.mark.parametrize("ends, span", [(SENTENCES, 25), (SENTENCES, 8), (LINES, 8), (PARAGRAPHS, 25)])
+def test_passages(docs, corpus, ends, span):
+    first, own = {}, {i: cut_by_hand(t or "", ends, 8) for i, t, *_ in corpus}
     for i in own:
         for start, _, words in own[i]:
-            first.setdefault(words, (i, start))
-    rows = {r.row.doc_id: r for r in dedup_passages(docs).collect()}
+            first.setdefault(tuple(words), (i, start))
+    rows = {r.row.doc_id: r for r in dedup_passages(docs, ends, min_span_words=span).collect()}
     assert len(rows) == len(corpus)
+    n_removed = 0
     for i, text, *_ in corpus:
         gone = np.zeros(len(text or ""), bool)
-        for start, end, words in own[i]:
-            gone[start:end] |= first[words] != (i, start)
+        run = []
+        for start, end, words in [*own[i], (0, 0, None)]:
+            if words is not None and first[tuple(words)] != (i, start):
+                run.append((start, end, len(words)))
+                continue
+            if sum(n for *_, n in run) >= span:
+                for a, b, _ in run:
+                    gone[a:b] = True
+            run = []
+        n_removed += gone.sum()
+        assert rows[i].n_units == len(own[i])
         assert rows[i].kept == (None if text is None else "".join(c for c, g in zip(text, gone) if not g))
         assert sum(s.end - s.start for s in rows[i].spans) == gone.sum()
-    assert dedup_passages(empty(docs)).count() == 0
+    assert n_removed > 1000
+    assert dedup_passages(empty(docs), ends, min_span_words=span).count() == 0
+
+
+def test_one_repeated_sentence_is_no_passage(llm):
+    def sentence(name):
+        return f"{name} says that nine words are in this one."
+
+    passage = " ".join(map(sentence, ("Ann", "Ben", "Cid"))) + " Yes. " + sentence("Dan")
+    texts = [passage, f"{sentence('Eve')} {sentence('Ann')} {sentence('Flo')}", f"{sentence('Gus')} {passage} {sentence('Hal')}", None, ""]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.row.doc_id: r.kept for r in dedup_passages(df).collect()}
+    assert found == {**dict(enumerate(texts)), 2: f"{sentence('Gus')} Yes. {sentence('Hal')}"}
 
 
 @pytest.mark.parametrize("hot", [512, 3])
@@ -310,6 +364,46 @@ def test_mixing(docs, corpus):
     assert mix_sources(empty(docs)).count() == 0
 
 
+def test_mixing_by_weights_of_documents(llm, docs, corpus):
+    odd = [None, -1.0, float("nan"), float("inf"), 0.0]
+    own = {i: odd[i % 5] if i < 10 else 1.0 + i % 7 * 4 for i, *_ in corpus}
+    table = llm.createDataFrame(list(own.items()), "doc_id long, w double")
+    rows = mix_sources(docs.join(table, "doc_id"), weight="w").collect()
+    assert len(rows) == len(corpus)
+    good = {i: w if w is not None and 0 < w < float("inf") else 0.0 for i, w in own.items()}
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.row.source].append(r)
+    at_limit = 0
+    for group in by_source.values():
+        low, high = 0.0, 1e6  # the rate at which expected copies make up the target
+        for _ in range(200):
+            rate = (low + high) / 2
+            if sum(min(3.0, rate * good[r.row.doc_id]) * r.size for r in group) < group[0].target:
+                low = rate
+            else:
+                high = rate
+        ranks, expected = [], {}
+        for r in group:
+            i = r.row.doc_id
+            expected[i] = min(3.0, rate * good[i])
+            at_limit += expected[i] == 3
+            part = expected[i] % 1
+            if 1e-9 < part < 1 - 1e-9:
+                u = (int(hashlib.md5(f"mix/{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranks.append((u / (1 - u) / (part / (1 - part)), i, r.size, part))
+        ranks.sort()
+        extra, sums = sum(n * part for *_, n, part in ranks), [0]
+        for *_, n, _ in ranks:
+            sums.append(sums[-1] + n)
+        end = min(range(len(sums)), key=lambda k: (round(abs(sums[k] - extra), 3), k))
+        more = {i for _, i, *_ in ranks[:end]}
+        got = {r.row.doc_id: r.copies for r in group}
+        sized = {r.row.doc_id for r in group if r.size}
+        assert {i: c for i, c in got.items() if i in sized} == {i: int(expected[i] + 1e-9) + (i in more) for i in sized}
+    assert at_limit
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(docs, corpus, k):
     sets = {}

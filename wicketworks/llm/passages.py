@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +48,14 @@ def units(text: str, ends: str, min_words: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def _long_runs(own: list[tuple[int, int, str]], gone: set[int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the units that start in ``gone`` and have ``min_words`` words with their neighbours there."""
+    for repeated, neighbours in groupby(own, lambda unit: unit[0] in gone):
+        run = list(neighbours)
+        if repeated and sum(words.count(" ") + 1 for *_, words in run) >= min_words:
+            yield from ((start, end) for start, end, _ in run)
+
+
 def _digests(ends: str, min_words: int):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +73,12 @@ def _digests(ends: str, min_words: int):
 
 
 def dedup_passages(
-    docs: DataFrame, ends: str = SENTENCES, min_words: int = 8, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    ends: str = SENTENCES,
+    min_words: int = 8,
+    min_span_words: int = 25,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """(row, kept, n_units, spans): texts without units that came earlier, and the places of what was removed.
 
@@ -73,6 +87,10 @@ def dedup_passages(
     points of the original, neighbours joined. ``ends`` says how texts are cut: LINES, PARAGRAPHS or, as
     passages may begin and end inside a line, SENTENCES. Units of less than ``min_words`` words stay.
 
+    One repeated sentence is no passage: repeated units go where neighbours, no other unit between them, have
+    ``min_span_words`` words together. At 25, a passage of 50 words goes wherever it begins and ends, unless the sentences that it
+    shares with the text around it take more than half of it.
+
     Digests are counted with their least occurrence before they are moved, and the join back may be split, so
     a line of every third text is no burden. Only the places removed from a text meet it.
 
@@ -103,9 +121,7 @@ def dedup_passages(
             own = units(value or "", ends, min_words)
             spans: list[dict[str, int]] = []
             gone = set() if gone is None else set(gone)
-            for start, end, _ in own:
-                if start not in gone:
-                    continue
+            for start, end in _long_runs(own, gone, min_span_words):
                 if spans and spans[-1]["end"] == start:
                     spans[-1]["end"] = end
                 else:
