@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wicketworks.llm.embeddings import near_vectors
+from wicketworks.llm.embeddings import near_vectors, share_a_cell, tables_for
 from wicketworks.llm.language import code_lengths, fit, identify_language, sample
 from wicketworks.llm.lines import dedup_lines
 from wicketworks.llm.mixing import mix_sources
@@ -338,6 +339,34 @@ def test_vectors(llm):
     assert near_vectors(df.where("vec_id < 0")).count() == 0
 
 
+def test_vectors_of_a_large_table(llm):
+    """Recall at the threshold against brute force, where buckets hold many strangers and one group of near copies is large."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((18_000, 48)).astype(np.float32)
+    far = rng.uniform(0.2, 0.6, (6_000, 1))  # copies at cosines of about 0.86 to 0.98
+    near = base[:6_000] + rng.standard_normal((6_000, 48)) * far
+    group = base[17_999] + rng.standard_normal((1_500, 48)) * 0.15
+    vectors = np.concatenate([base, near, group]).astype(np.float32)
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = np.concatenate([(unit[a : a + 1500] @ unit.T >= 0.9).sum(1) - 1 for a in range(0, len(unit), 1500)])
+    frame = pd.DataFrame({"vec_id": range(len(vectors)), "embedding": vectors.tolist()})
+    df = llm.createDataFrame(frame, "vec_id long, embedding array<float>").repartition(4)
+    found = near_vectors(df).toPandas().sort_values("vec_id").n_links.to_numpy()
+    apart = slice(0, 17_999)
+    assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
+    assert found[apart].sum() >= 0.97 * true[apart].sum() > 0.97 * 3_000
+
+
+def test_tables_grow_slower_than_rows():
+    sizes = [tables_for(n, 0.9, 0.98, 32, 2.0) for n in (0, 500, 25_000, 1_000_000, 1_000_000_000)]
+    for (tables, projections), n in zip(sizes, (1, 500, 25_000, 1_000_000, 1_000_000_000)):
+        assert n * share_a_cell(0.0, 2.0) ** projections <= 32
+        assert 1 - (1 - share_a_cell(0.9, 2.0) ** projections) ** tables >= 0.98
+        assert tables <= 3 * max(1, n) ** 0.28
+    assert share_a_cell(1.0, 2.0) == 1 and abs(share_a_cell(0.0, 2.0) - 0.486) < 0.001
+
+
 def test_mixing(docs, corpus):
     rows = mix_sources(docs).collect()
     assert len(rows) == len(corpus)

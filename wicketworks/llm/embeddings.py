@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,7 +14,26 @@ from pyspark.sql import functions as F
 
 from wicketworks.llm.common import block_pairs, components, cut, grouped, groups, sides
 
-BLOCK = 256
+BLOCK = 1024
+
+
+def share_a_cell(cosine: float, width: float) -> float:
+    """Probability that one projection puts two unit vectors into one cell (p-stable hashing, Gaussian directions)."""
+    far = math.sqrt(max(0.0, 2 - 2 * cosine))
+    if not far:
+        return 1.0
+    ratio = width / far
+    return math.erf(ratio / math.sqrt(2)) - math.sqrt(2 / math.pi) / ratio * (1 - math.exp(-ratio * ratio / 2))
+
+
+def tables_for(rows: int, threshold: float, recall: float, strangers: int, width: float) -> tuple[int, int]:
+    """(tables, projections) that let a vector meet about ``strangers`` others at right angles in a bucket, whatever the number
+    of rows, and a pair at the threshold in one of the tables with probability ``recall``."""
+    near, far = share_a_cell(threshold, width), share_a_cell(0.0, width)
+    projections = max(1, math.ceil(math.log(max(1.0, rows / strangers)) / -math.log(far)))
+    one = near**projections
+    tables = 1 if one >= recall else math.ceil(math.log(1 - recall) / math.log1p(-one))
+    return tables, projections
 
 
 @lru_cache(4)
@@ -37,15 +57,20 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def _encoded(kind: str):
     """Vectors as bytes; null where a vector has no direction."""
+    wide = np.dtype(kind).itemsize
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for vector in batch.column("vector"):
-                values = vector.as_py()
-                array = np.array([np.nan if x is None else x for x in values or []], kind)
-                good = len(array) and np.isfinite(array).all() and array.any()
-                out.append(array.tobytes() if good else None)
+            vectors = batch.column("vector")
+            values = vectors.values.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+            at = vectors.offsets.to_numpy()
+            # How many components before each place are not finite, and how many are not zero.
+            wrong = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+            filled = np.concatenate([[0], np.cumsum(values != 0)])
+            good = (wrong[at[1:]] == wrong[at[:-1]]) & (filled[at[1:]] > filled[at[:-1]])
+            good &= vectors.is_valid().to_numpy(zero_copy_only=False)
+            raw = values.tobytes()
+            out = [raw[a * wide : b * wide] if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), good)]
             nodes = [hashlib.blake2b(v, digest_size=16).digest() if v else None for v in out]
             columns = [batch.column("id"), pa.array(nodes, pa.binary()), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "node", "raw"])
@@ -65,7 +90,7 @@ def _bucketed(kind: str, options: tuple):
                 values = np.frombuffer(b"".join(raws[i] for i in at), kind).reshape(len(at), -1)
                 cells = quantised(unit(values), *options)
                 for t in range(options[0]):
-                    head = bytes([t]) + size.to_bytes(4, "little")
+                    head = t.to_bytes(4, "little") + size.to_bytes(4, "little")
                     keys += [head + c.tobytes() for c in cells[:, t]]
                     nodes += at
             yield pa.RecordBatch.from_arrays(
@@ -84,7 +109,7 @@ def _linked(kind: str, threshold: float, options: tuple):
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, bytes]] = []
         for table in groups(batches, ["bucket", "left_block", "right_block"]):
-            own = table["bucket"][0].as_py()[0]
+            own = int.from_bytes(table["bucket"][0].as_py()[:4], "little")
             values = unit(np.frombuffer(b"".join(table["raw"].to_pylist()), kind).reshape(table.num_rows, -1))
             left, right, same = sides(table)
             i, j = np.nonzero(values[left] @ values[right].T >= threshold)
@@ -93,12 +118,13 @@ def _linked(kind: str, threshold: float, options: tuple):
             i, j = left[i], right[j]
             if own and len(i):
                 some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                cells = quantised(values[some], *options)[:, :own]
+                cells = quantised(values[some], *options)
                 first = np.ones(len(i), bool)
                 a, b = back[: len(i)], back[len(i) :]
-                for at in range(0, len(i), 4096):
-                    s = slice(at, at + 4096)
-                    first[s] = ~(cells[a[s]] == cells[b[s]]).all(2).any(1)
+                for before in range(own):
+                    whole = np.ascontiguousarray(cells[:, before]).view(f"S{options[1]}").ravel()
+                    _, bucket = np.unique(whole, return_inverse=True)
+                    first &= bucket[a] != bucket[b]
                 i, j = i[first], j[first]
             if not len(i):
                 continue
@@ -138,8 +164,8 @@ def _least(rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def near_vectors(
     vectors: DataFrame,
     threshold: float = 0.9,
-    tables: int = 32,
-    projections: int = 12,
+    recall: float = 0.98,
+    strangers: int = 32,
     width: float = 2.0,
     seed: int = 6,
     vec_id: str = "vec_id",
@@ -148,10 +174,11 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept): vectors whose cosine is ``threshold`` or more.
 
     Unit vectors are projected on random Gaussian directions, shifted and cut into cells of ``width``; the
-    cells of ``projections`` directions are one bucket of a table. Euclidean distance is sqrt(2 - 2 cosine),
-    so a pair at cosine 0.9 shares a bucket in one of the 32 tables with probability 0.96, at 0.95 with
-    0.999, at 0.97 nearly always; a pair at right angles does in one table with 0.0002. More rows ask for
-    more ``projections`` (a bucket then holds fewer strangers) and more ``tables``.
+    cells of some directions together are one bucket of a table. ``tables_for`` takes their numbers from the number of different
+    vectors: with more rows, buckets are cut by more projections, so that a vector still meets about ``strangers`` vectors
+    at right angles in a bucket, and there are more tables, so that a pair at the threshold still shares one of them with
+    probability ``recall``, closer pairs with more. At cosine 0.9 tables grow with the power 0.27 of the rows: 7 for 500
+    vectors, 26 for 25,000, 73 for a million; comparisons grow with the rows times the tables, not with the square of the rows.
 
     Equal vectors are one class, with a count, before anything is paired. Buckets are dealt in blocks, so
     no task holds a bucket. Inside a group all pairs are compared exactly, in double precision, and only
@@ -163,16 +190,14 @@ def near_vectors(
     component, and is kept if that has none. Labels and other columns are not read. An empty table gives
     no rows.
     """
-    if tables > 256:
-        raise ValueError("a bucket names its table in one byte")
     kind = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
-    options = (tables, projections, width, seed)
     id_type = vectors.schema[vec_id].dataType.simpleString()
     values = F.col(vector) if kind == "<f4" else F.col(vector).cast("array<double>")
     base = vectors.select(F.col(vec_id).alias("id"), values.alias("vector"))
     rows = cut(base.mapInArrow(_encoded(kind), f"id {id_type}, node binary, raw binary"))
     classes = rows.where("node is not null").groupBy("node")
     classes = cut(classes.agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"), F.min("raw").alias("raw")))
+    options = (*tables_for(classes.count(), threshold, recall, strangers, width), width, seed)
     buckets = classes.select("node", "raw").mapInArrow(_bucketed(kind, options), "node binary, bucket binary")
     dealt = block_pairs(buckets, "bucket", "node", BLOCK).join(classes.select("node", "raw", "copies"), "node")
     dealt = grouped(dealt, ["bucket", "left_block", "right_block"])
