@@ -80,6 +80,33 @@ def test_tokens_of_odd_words():
         assert list(own([text])) == [struct.pack(f"<{len(ids)}I", *ids)]
 
 
+def test_plain_words_are_coded_a_stretch_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+    from wicketworks.llm import packing
+
+    tokenizer, own = Tokenizer.from_file(public_tokenizer()), packing.WordEncoder(public_tokenizer())
+    coded = []
+
+    class Merges:
+        def __init__(self, merges):
+            self.merges = merges
+
+        def encode_ordinary(self, text):
+            coded.append(text)
+            return self.merges.encode_ordinary(text)
+
+    own.merges = Merges(own.merges)
+    text = " ".join(f"it's{chr(97 + i % 26) * (i % 9)}\nW{i}o, <{i}" for i in range(500))
+    odd = "œuvre " + text[:300] + " x<|y œ ’ta " + text[300:600] + " œ"
+    for stretch, calls in ((packing.STRETCH, 1), (40, None)):
+        monkeypatch.setattr(packing, "STRETCH", stretch)
+        for t in (text, odd):
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            assert list(own([t])) == [struct.pack(f"<{len(ids)}I", *ids)]
+            assert calls is None or t == odd or len(coded) == calls
+            assert set(own.known) <= {"œuvre", "x<|y", "œ", "’ta"}
+
+
 def test_other_vocabularies_are_not_taken_for_the_lower_case_one(llm, docs, corpus):
     from tokenizers import Tokenizer
 

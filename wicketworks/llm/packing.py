@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from sys import getsizeof
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from wicketworks.llm.common import ceil_div, cut
 
-#: Bytes that a worker keeps of coded words, and of coded pieces of words.
-WORD_BYTES, PIECE_BYTES = 96 << 20, 48 << 20
+#: Bytes that a worker keeps of words that the tokenizer itself codes.
+WORD_BYTES = 96 << 20
+#: Characters, about, that are coded at once.
+STRETCH = 1 << 16
 #: What a dictionary takes for an entry besides the key and the value, about.
 ENTRY = 100
 SCHEMA = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -32,8 +35,12 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Words of these characters alone take the short way: lower case, cut into pieces, merged by rank.
-_plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_plain = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+#: Runs of other words, with the blanks between them: from where a word starts, none of its characters is tried twice.
+_odd_word = r"(?:[!-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*+[^ ]+"
+_odd = re.compile(rf"((?<![^ ]){_odd_word}(?: {_odd_word})*)")
+#: A piece that is no run of letters: a digit, an ending after its mark, or a run of other characters.
+_other = re.compile(r"[^ a-zß-öø-ÿ](?:(?<=[0-9])|(?<=')(?:s|t|re|ve|m|ll|d)|(?<![0-9])[^ a-zß-öø-ÿ0-9]*)")
 
 
 def _merges(vocabulary: dict[str, int]):
@@ -102,10 +109,11 @@ def _codes_words(path: str) -> bool:
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit words.
 
-    The lower-case vocabulary with word ends never joins what blanks and line ends part, so there words are encoded once
-    and remembered, up to a bounded number of bytes. Common words take a fast merge of the same vocabulary;
-    words with other characters, or with marks of special tokens, go through the tokenizer itself. So does every
-    whole text under any other vocabulary.
+    The lower-case vocabulary with word ends never joins what blanks and line ends part, so words may be coded apart.
+    Common words take a fast merge of the same vocabulary, a stretch of them at once: to merge is cheaper than to keep
+    and look up millions of words. Words with other characters, or with marks of special tokens, go through the
+    tokenizer itself and are remembered, up to a bounded number of bytes. Under any other vocabulary every whole text
+    goes through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -113,27 +121,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = _merges(self.tokenizer.get_vocab()) if _codes_words(path) else None
-        self.known = Remembered(self.word, WORD_BYTES)
-        self.pieces = Remembered(lambda piece: _bytes(self.merges.encode_ordinary(piece + " ")), PIECE_BYTES)
+        self.known = Remembered(self.exact, WORD_BYTES)
 
-    def word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if not _plain.fullmatch(word) or "<|" in word:
-            return _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return b"".join([self.pieces[piece] for piece in _piece.findall(word.lower())])
+    def exact(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of words that take the short way, parted by blanks: each piece is coded with a blank as its end."""
+        return _bytes(self.merges.encode_ordinary(_other.sub(r" \g<0> ", text.lower()) + " "))
+
+    def words(self, text: str) -> Iterator[bytes]:
+        for part in _stretches(text.replace("\n", " ")):
+            if "<|" not in part and _plain.fullmatch(part):
+                yield self.plain(part)
+                continue
+            for i, words in enumerate(_odd.split(part)):
+                yield b"".join([self.known[w] for w in words.split(" ")]) if i % 2 else self.plain(words)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
         for text in texts:
-            if self.merges:
-                yield b"".join([known[w] for w in text.replace("\n", " ").split(" ")])
-            else:
-                yield _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            yield b"".join(self.words(text)) if self.merges else self.exact(text)
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """The text in parts of STRETCH characters or some more, cut at blanks."""
+    start = 0
+    while (end := text.find(" ", start + STRETCH)) >= 0:
+        yield text[start:end]
+        start = end + 1
+    yield text[start:]
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    words = array("I", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
 
 
 @lru_cache(1)
