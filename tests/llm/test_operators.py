@@ -221,6 +221,23 @@ def test_substrings(docs, corpus, hot):
         assert len(rows[i].spans) == (np.diff(gone.astype(int), prepend=0) == 1).sum()
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_a_place_does_not_repeat_itself(llm, hot):
+    def run(word, n):
+        return f"{word} " * n
+
+    texts = [run(a, 30) + run("of", 60) + run(b, 30) + tail for a, b, tail in zip("abcdef", ["ba", "cab", "dabc", "e", "fg", "ga"], "uvwxyz")]
+    data = [t.encode() for t in texts]
+    length = 100
+    seen = Counter(b[a : a + length] for b in data for a in range(len(b) - length + 1))
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in dedup_substrings(df, length=length, gram=40, hot=hot).collect()}
+    for i, b in enumerate(data):
+        again = [a for a in range(len(b) - length + 1) if seen[b[a : a + length]] > 1]
+        gone = {p for a in again for p in range(a, a + length)}
+        assert again and bytes(rows[i].kept) == bytes(c for p, c in enumerate(b) if p not in gone)
+
+
 def test_substrings_of_an_empty_table(docs):
     assert dedup_substrings(empty(docs)).count() == 0
 
